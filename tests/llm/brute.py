@@ -52,3 +52,21 @@ def near_duplicates(docs, percent=75):
                 edges.add((i, j))
     comp = components(sets, edges)
     return {i: (len(s), comp[i]) for i, s in sets.items()}
+
+
+def repeated_bytes(docs, length=400):
+    """docs: texts -> [(n_bytes, n_removed, n_spans, remaining bytes)]"""
+    data = [(t or "").encode() for t in docs]
+    seen = defaultdict(int)
+    for d in data:
+        for i in range(len(d) - length + 1):
+            seen[hash(d[i : i + length])] += 1
+    out = []
+    for d in data:
+        gone = bytearray(len(d) + 1)
+        for i in range(len(d) - length + 1):
+            if seen[hash(d[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        runs = sum(gone[i] and not gone[i + 1] for i in range(len(d)))
+        out.append((len(d), sum(gone), runs, bytes(b for b, g in zip(d, gone) if not g)))
+    return out
