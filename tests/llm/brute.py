@@ -70,3 +70,28 @@ def repeated_bytes(docs, length=400):
         runs = sum(gone[i] and not gone[i + 1] for i in range(len(d)))
         out.append((len(d), sum(gone), runs, bytes(b for b, g in zip(d, gone) if not g)))
     return out
+
+
+def contaminated(docs, items, least=0.75):
+    """docs, items: (id, text) -> {(doc, item): best weighted similarity over item-sized windows}"""
+    sets = {i: shingles(t) for i, t in items}
+    held = defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            held[x] += 1
+    weigh = lambda s: sum(1 / held[x] if x in held else 1 for x in s)
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        mine = shingles(text) | {tuple(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1)}
+        for i, t in items:
+            n = len(words(t))
+            if not sets[i] & mine:
+                continue
+            for p in range(max(1, len(w) - n + 1)):
+                s = shingles(" ".join(w[p : p + n]))
+                both = weigh(s & sets[i])
+                like = both / (weigh(s) + weigh(sets[i]) - both)
+                if like >= least - 1e-12:
+                    out[d, i] = max(out.get((d, i), 0), like)
+    return out
