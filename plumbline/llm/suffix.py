@@ -160,7 +160,8 @@ def repeats(keyed: DataFrame, counts: DataFrame, length: int = 400) -> tuple[Dat
     schema = "g long, f long, k long, at int, m int"
     parsed = long.select("_k", "_t").mapInArrow(_stretches(length), schema)
     cores = keep(parsed.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).where("n > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "cores")
-    shared = keep(parsed.join(maybe_broadcast(cores), "g"), "shared")
+    # dealt by g at every size: the classes grow with the corpus
+    shared = keep(parsed.join(cores.hint("shuffle_merge"), "g"), "shared")
     wholes = keep(shared.where("not same").groupBy("g", "f").agg(F.count("*").alias("c"), F.min("k").alias("k")), "wholes")
     torn = wholes.groupBy("g").agg(F.min("c").alias("least")).where("least = 1").select("g")
     ask = wholes.join(torn, "g").groupBy("k").agg(F.collect_set("f").alias("every"), F.collect_set(F.when(F.col("c") == 1, F.col("f"))).alias("alone"))
