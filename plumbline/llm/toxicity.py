@@ -8,7 +8,7 @@ of the other half of the rows, and the calibration to scores of trees of the
 other half, so neither sees its own labels twice.
 
 The classifier is fitted on a bounded sample: of the labelled training rows,
-the distinct texts of at most ``max_rows`` (default 8,000), by hash of the id.
+the distinct texts of at most ``max_rows`` (default 4,000), by hash of the id.
 Every text is scored whole.
 
 Defined results: null and empty texts have all features 0 and a score; rows
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._store import keep, maybe_broadcast
 from plumbline.llm._words import BYTES, FOLDED_CODE, SEPARATOR, chunks, mix, prefix_sums
 
-MAX_ROWS = 8000
+MAX_ROWS = 4000
 #: Bytes of the word beginnings that the lexicon may hold.
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEXICON = 4000
@@ -121,7 +121,7 @@ def learn_lexicon(units: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
 FEATURES = ("log_words", "hit", "strong", "weight", "hits", "strong_hits", "near_you", "capitals", "shouted", "symbols", "exclaimed", "obfuscated", "starred", "best", "kinds")
 
 
-def features(units: Units, lexicon: Lexicon, split: np.ndarray | None = None) -> np.ndarray:
+def features(units: Units, lexicon: Lexicon) -> np.ndarray:
     rows = len(units.offsets) - 1
     out = np.zeros((rows, len(FEATURES)), np.float32)
     row, data = units.row, units.data
@@ -242,9 +242,9 @@ class Model:
         self.trees = None
         if not 1 < toxic.sum() < len(toxic) - 1:
             return
-        parts = [Units(data, offsets) for _, data, offsets in chunks(texts)]
         units = []
-        for u in parts:
+        for _, data, offsets in chunks(texts):  # one chunk's words at a time are held
+            u = Units(data, offsets)
             names = np.stack([u.names(size) for size in (None, *BEGINNINGS)])
             cut = np.searchsorted(u.row, np.arange(len(u.offsets)))
             units += [np.unique(names[:, cut[r] : cut[r + 1]]) for r in range(len(u.offsets) - 1)]
@@ -252,7 +252,7 @@ class Model:
         for side in (toxic, ~toxic):
             fold[side] = np.arange(side.sum()) % 2
         both = [learn_lexicon([units[i] for i in np.flatnonzero(fold != k)], toxic[fold != k]) for k in (0, 1)]
-        x = np.where((fold == 0)[:, None], *(np.concatenate([features(u, lexicon) for u in parts]) for lexicon in both))
+        x = np.where((fold == 0)[:, None], *(np.concatenate([features(Units(data, offsets), lexicon) for _, data, offsets in chunks(texts)]) for lexicon in both))
         y = toxic.astype(float)
         self.lexicon = learn_lexicon(units, toxic)
         raw = np.zeros(len(y))
