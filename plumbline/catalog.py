@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from plumbline.plans import relational, registry  # noqa: F401
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
