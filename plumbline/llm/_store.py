@@ -8,16 +8,22 @@ lost executor costs the tasks it held and not the whole job.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow (a few numbers wide) table that may be broadcast.
 BROADCAST_ROWS = 400_000
 
+#: Rows of whole texts that a task hands to Python at once.
+TEXT_ROWS = 1000
+
 _fallback: list[str] = []
 
 
@@ -61,3 +67,26 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release() -> None:
+    """Give freed memory back: workers are reused, and what one holds its executor lacks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow for rows that hold whole texts: small batches, and memory is given back at the end."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)

@@ -3,8 +3,8 @@
 p(w | h) = a * c(h w) / c(h) + b * c(w) / N + (1 - a - b) / (V + 1), with weights for
 each bucket of context counts (0, 1, 2-3, 4-7, ...).  The weights come from
 expectation-maximisation on held-out counts: every training event is judged
-by the counts without itself.  Events with (nearly) equal frequencies share a cell of
-a histogram of fixed size, so all events count and the driver sees only cells.
+by the counts without itself.  Events with similar frequencies share a cell of a histogram
+of fixed size and count with its means, so all events count and the driver sees only cells.
 
 Counts of the whole corpus: documents are dealt into batches by hash.  A batch names its
 distinct words and bigrams by 64-bit hashes and sends each shard of the hash
@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep, partitions
+from plumbline.llm._store import discard, keep, map_texts, partitions
 from plumbline.llm._words import Words, chunks, mix
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _H, _W = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
-BUCKETS, STEP, LEVELS = 40, 0.25, 128
+BUCKETS, STEP, LEVELS = 40, 1.4, 64
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -48,13 +48,54 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def _joined(batches, size: int):
+    """Batches put together until they hold ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _parcel(parts: int):
+    """Rows that go to one batch as one compressed parcel, which halves what is shuffled."""
+
+    def run(batches):
+        for batch in _joined(batches, 1 << 25):
+            for row, data, offsets in chunks(batch.column(1), 1 << 25):
+                to = batch.column(3).slice(row, len(offsets) - 1).to_numpy()
+                order = np.argsort(to, kind="stable")
+                text = data.tobytes()
+                edges = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
+                groups = [order[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+                squeeze = zstandard.ZstdCompressor(level=3).compress
+                ids, train = batch.column(0), batch.column(2)
+                take = lambda c, g: c.take(pa.array(g + row))  # noqa: E731, B023
+                nest = lambda c: pa.ListArray.from_arrays(np.cumsum([0, *map(len, groups)]).astype(np.int32), take(c, np.concatenate(groups)))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to[order][edges[:-1]], pa.int32()), nest(ids), nest(train),
+                        pa.array([np.diff(offsets)[g] for g in groups], pa.list_(pa.int64())),
+                        pa.array([squeeze(b"".join(text[offsets[r] : offsets[r + 1]] for r in g)) for g in groups], pa.binary()),
+                    ],
+                    ["batch", "ids", "train", "sizes", "texts"],
+                )
+
+    return run
+
+
 class Batch:
     """Tokens of a batch of documents: word, bigram, row; and the sorted names of both."""
 
     def __init__(self, table: pa.Table):
-        column = table.column("text")
         words, bigrams, rows, base = [], [], [], 0
-        for part in column.chunks:
+        for blob, sizes in zip(table.column("texts"), table.column("sizes"), strict=True):
+            text = pa.py_buffer(zstandard.ZstdDecompressor().decompress(blob.as_py()))
+            offsets = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+            part = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), text)
             for first_row, data, offsets in chunks(part):
                 w = Words(data, offsets)
                 end = w.first[1:] + np.arange(w.rows)
@@ -71,7 +112,8 @@ class Batch:
         self.word, self.bigram, self.row = cat(words, np.uint64), cat(bigrams, np.uint64), cat(rows, np.int64)
         self.begins = np.concatenate([[True], self.row[1:] != self.row[:-1]])
         self.rows = base
-        self.train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        self.ids, self.train_column = (pa.concat_arrays([c.flatten() for c in table.column(n).chunks]) for n in ("ids", "train"))
+        self.train = self.train_column.to_numpy(zero_copy_only=False).astype(bool)
         self.names, self.at = np.unique(np.concatenate([self.word, self.bigram]), return_inverse=True)
         self.own = np.bincount(self.at, np.tile(self.train[self.row], 2), len(self.names)).astype(np.uint32)
 
@@ -144,14 +186,10 @@ def _level(ratio: np.ndarray) -> np.ndarray:
     """0 for nothing, else 1 + the logarithm in steps."""
     out = np.zeros(len(ratio), np.int64)
     some = ratio > 0
-    out[some] = (np.log(ratio[some]) / STEP + 41.5).astype(np.int64).clip(1, LEVELS - 1)
+    out[some] = (np.log(ratio[some]) / STEP + 10.5).astype(np.int64).clip(1, LEVELS - 1)
     return out
 
 
-def _value(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, np.exp((level - 41) * STEP), 0.0)
-
-
 def _cells(tokens: int, types: int):
     """How many training events have which frequencies in the counts without themselves."""
 
@@ -161,15 +199,16 @@ def _cells(tokens: int, types: int):
         f2 = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0) * (types + 1)
         f1 = word / max(tokens - 1, 1) * (types + 1)
         cell = (bucket(context) * LEVELS + _level(f2)) * LEVELS + _level(f1)
-        cells, n = np.unique(cell, return_counts=True)
-        return pa.table({"cell": pa.array(cells), "n": pa.array(n.astype(np.int64))})
+        cells, at = np.unique(cell, return_inverse=True)
+        add = lambda w=None: pa.array(np.bincount(at, w, len(cells)).astype(np.float64))
+        return pa.table({"cell": pa.array(cells), "n": add(), "f2": add(f2), "f1": add(f1)})
 
     return run
 
 
-def mixture_weights(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """(a, b, rest) for each bucket, from the cells of all events."""
-    which, f2, f1 = cells // LEVELS**2, _value(cells // LEVELS % LEVELS), _value(cells % LEVELS)
+def mixture_weights(cells: np.ndarray, n: np.ndarray, f2: np.ndarray, f1: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """(a, b, rest) for each bucket, from the cells of all events: how many, and their mean frequencies."""
+    which = cells // LEVELS**2
     out = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
     out[0] = 0, 0.9, 0.1
     f = np.stack([f2, f1, np.ones(len(cells))])
@@ -196,8 +235,8 @@ def _score(tokens: int, types: int, weights: np.ndarray):
         add = lambda w=None: np.bincount(b.row, w, b.rows)
         return pa.table(
             {
-                "id": docs.column("id"),
-                "train": docs.column("train"),
+                "id": b.ids,
+                "train": b.train_column,
                 "n_tokens": pa.array(add().astype(np.int64)),
                 "n_known": pa.array(add(word > 0).astype(np.int64)),
                 "base_score": pa.array(add(base)),
@@ -217,20 +256,23 @@ def _free(df: DataFrame) -> None:
 def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score), learning from the rows where ``training`` holds."""
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    parts = partitions(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(training, F.lit(True)).alias("train"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+    kind = dict(rows.dtypes)["id"]
+    rows = map_texts(rows, _parcel(parts), f"batch int, ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary")
     sent = rows.groupBy("batch").applyInArrow(_send(parts), "shard int, batch int, names binary, counts binary")
     counts = keep(sent.groupBy("shard").applyInArrow(_add_up, "batch int, shard int, counts binary, wide boolean, tokens long, types long"), "counts")
     _free(docs)
     total = counts.where("batch = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     back = counts.where("batch >= 0").select("batch", "shard", "counts", "wide")
     both = lambda f, schema: rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(f, schema)
-    cells = both(_cells(total.n, total.v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = both(_cells(total.n, total.v), "cell long, n double, f2 double, f1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "f2", "f1")]).orderBy("cell").toArrow()
     _free(docs)
-    weights = mixture_weights(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(float))
-    out = keep(both(_score(total.n, total.v, weights), f"id {dict(rows.dtypes)['id']}, train boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    n, f2, f1 = (cells.column(c).to_numpy() for c in ("n", "f2", "f1"))
+    weights = mixture_weights(cells.column("cell").to_numpy(), n, f2 / n, f1 / n)
+    out = keep(both(_score(total.n, total.v, weights), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     discard(counts)
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -21,13 +21,15 @@ def model(docs):
 
 def want(docs):
     held, tokens, train, uni, bi, n, v = model(docs)
-    cells = Counter()
+    cells = {}
     for t in train:
         for h, w in zip([END, *t[:-1]], t):
             c, one, two = uni[h] - 1, uni[w] - 1, bi[h, w] - 1
-            level = [int(_level(np.array([x]))[0]) for x in ((two / c if c else 0) * (v + 1), one / max(n - 1, 1) * (v + 1))]
-            cells[(int(bucket(np.array([c]))[0]) * LEVELS + level[0]) * LEVELS + level[1]] += 1
-    a = mixture_weights(np.array(list(cells), np.int64), np.array(list(cells.values()), float))
+            f = ((two / c if c else 0) * (v + 1), one / max(n - 1, 1) * (v + 1))
+            level = [int(_level(np.array([x]))[0]) for x in f]
+            cells.setdefault((int(bucket(np.array([c]))[0]) * LEVELS + level[0]) * LEVELS + level[1], []).append(f)
+    means = np.array([np.mean(f, axis=0) for f in cells.values()]).reshape(-1, 2)
+    a = mixture_weights(np.array(list(cells), np.int64), np.array([len(f) for f in cells.values()], float), *means.T)
     out = []
     for k, t in enumerate(tokens):
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
@@ -73,5 +75,5 @@ def test_weights_find_the_mixture():
     rng = np.random.default_rng(0)
     f2, f1 = rng.random(50) * 30, rng.random(50) * 30
     cells = (3 * LEVELS + _level(f2)) * LEVELS + _level(f1)
-    w = mixture_weights(cells, np.ones(50))
+    w = mixture_weights(cells, np.ones(50), f2, f1)
     assert w.shape == (BUCKETS, 3) and np.allclose(w.sum(axis=1), 1)
