@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import keep
+from plumbline.llm._store import keep, map_texts
 from plumbline.llm._words import SEQ_A, Words, chunks, mix, prefix_sums
 
 #: At a similarity of 0.75 about 11 of 64 bits differ, with a deviation of 3.
@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(blocks):
         got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").toArrow()
-        found = rows.mapInArrow(_scan(Items(got.column("i").to_pylist(), got.column("t").to_pylist()), least), schema)
+        found = map_texts(rows, _scan(Items(got.column("i").to_pylist(), got.column("t").to_pylist()), least), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 

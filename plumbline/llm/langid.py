@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._store import map_texts
 from plumbline.llm._words import chunks
 
 BINS = 1 << 16
@@ -123,7 +124,7 @@ class Model:
 def train(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", penalty: float = 1.0) -> Model:
     """Counts over all rows where ``training`` holds; they are languages x 65,536 numbers."""
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    table = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    table = map_texts(rows, _count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     lang = table.column("lang").to_pylist()
     names = sorted(set(lang))
     counts = np.zeros((len(names), BINS))
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             )
 
     schema = rows.drop("_text_").schema.simpleString()  # struct<a:int,...>
-    return rows.mapInArrow(run, f"{schema[:-1]},{','.join(x.replace(' ', ':', 1) for x in extra.split(', '))}>")
+    return map_texts(rows, run, f"{schema[:-1]},{','.join(x.replace(' ', ':', 1) for x in extra.split(', '))}>")
 
 
 def held_out(of: int, remainder: int, id_col: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._graph import components
-from plumbline.llm._store import discard, keep, maybe_broadcast
+from plumbline.llm._store import discard, keep, map_texts, maybe_broadcast
 from plumbline.llm._words import Words, chunks, mix
 
 SYMBOLS, CHUNKS, WIDTH = 64, 16, 4
@@ -135,7 +135,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     left = texts.join(maybe_broadcast(ends), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     # an id may stand on several rows; its texts are then all compared
     both = left.join(right, "a").select("a", "b", "text_a", "text_b")
-    links = keep(both.mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
+    links = keep(map_texts(both, _verify(size, percent), "a long, b long").distinct(), "links")
     discard(pairs, ends)
     return links
 
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` % of their union."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = keep(rows.mapInArrow(_sign(size), "id long, cls binary, n_shingles long, sig binary"), "signed")
+    signed = keep(map_texts(rows, _sign(size), "id long, cls binary, n_shingles long, sig binary"), "signed")
     reps = keep(
         signed.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("v"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "reps",
@@ -184,12 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     torn = keep(placed.join(mixed, "key"), "torn")
     asked = keep(torn.select(F.col("v").alias("id")).distinct(), "asked")
-    own = texts.join(maybe_broadcast(asked), "id").mapInArrow(_shingles(size), "v long, h long").distinct()
+    own = map_texts(texts.join(maybe_broadcast(asked), "id"), _shingles(size), "v long, h long").distinct()
     own = own.groupBy("h").agg(F.count("*").alias("c"), F.min("v").alias("v")).where("c = 1").groupBy("v").agg(F.count("*").alias("own"))
     several = reps.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v").union(_same_id(signed, reps).select("a")).distinct()
     own = own.join(several, "v", "left_anti")
     able = keep(sig.join(asked.withColumnRenamed("id", "v"), "v").join(own, "v", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").where(f"100 * s >= {percent} * n"), "able")
-    bits = texts.join(maybe_broadcast(keep(able.select(F.col("v").alias("id")).distinct(), "able_ids")), "id").mapInArrow(_bits(size), "v long, bits array<bigint>")
+    bits = map_texts(texts.join(maybe_broadcast(keep(able.select(F.col("v").alias("id")).distinct(), "able_ids")), "id"), _bits(size), "v long, bits array<bigint>")
     able = keep(able.join(bits.join(several, "v", "left_anti"), "v", "left"), "able")
     left = keep(torn.join(able, "v"), "open")
     main = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo <> hi").select("key", "main")

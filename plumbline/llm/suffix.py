@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep, maybe_broadcast
+from plumbline.llm._store import discard, keep, map_texts, maybe_broadcast
 from plumbline.llm._words import BYTE_CODE, BYTES, chunks, mix, prefix_sums
 
 #: Bytes hashed for a trigger; no trigger may depend on bytes outside its window.
@@ -158,7 +158,7 @@ def repeats(keyed: DataFrame, counts: DataFrame, length: int = 400) -> tuple[Dat
     copies = keep(counts.where(F.col("_n") >= length).groupBy("_k", "_n").agg(F.count("*").alias("c")).where("c > 1").select("_k", "_n"), "copies")
     long = keyed.where(F.col("_n") >= length)
     schema = "g long, f long, k long, at int, m int"
-    parsed = long.select("_k", "_t").mapInArrow(_stretches(length), schema)
+    parsed = map_texts(long.select("_k", "_t"), _stretches(length), schema)
     cores = keep(parsed.groupBy("g").agg(F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).where("n > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), "cores")
     # dealt by g at every size: the classes grow with the corpus
     shared = keep(parsed.join(cores.hint("shuffle_merge"), "g"), "shared")
@@ -168,7 +168,7 @@ def repeats(keyed: DataFrame, counts: DataFrame, length: int = 400) -> tuple[Dat
     ask = keep(ask, "ask")
     who = keep(ask.select(F.col("k").alias("_k")), "who")
     few = long.join(maybe_broadcast(who), "_k", "left_semi").select(F.col("_k").alias("k"), "_t")
-    windows = keep(few.join(ask, "k").select("k", "_t", "every", "alone").mapInArrow(_windows(length), "g long, h long, k long, at int, alone boolean"), "windows")
+    windows = keep(map_texts(few.join(ask, "k").select("k", "_t", "every", "alone"), _windows(length), "g long, h long, k long, at int, alone boolean"), "windows")
     twice = windows.groupBy("g", "h").agg(F.count("*").alias("c"), F.max("alone").alias("alone")).where("c > 1 and alone").select("g", "h")
     torn_spans = windows.where("alone").join(twice, ["g", "h"]).select("k", "at", F.lit(1).alias("m"))
     whole_spans = shared.where("same").select("k", "at", "m").unionByName(shared.where("not same").join(wholes.where("c > 1").select("g", "f"), ["g", "f"]).select("k", "at", "m"))
@@ -206,7 +206,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["_k", "gone", "runs", "rest"])
 
-    torn = _torn_rows(keyed, copies, spans).select("_k", "_t", "_at", "_m").mapInArrow(cut, "_k long, gone long, runs long, rest string")
+    torn = map_texts(_torn_rows(keyed, copies, spans).select("_k", "_t", "_at", "_m"), cut, "_k long, gone long, runs long, rest string")
     torn = keep(torn, "torn")
     discard(spans)
     all_gone = F.col("whole").isNotNull()
@@ -242,7 +242,7 @@ def without_repeated(docs: DataFrame, text_col: str = "text", length: int = 400)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(i) for i, n in enumerate(names)], names)
 
     rows = keyed.select([F.col(f"`{n}`") for n in names] + ["_t", "_k", "_n"])
-    torn = _torn_rows(rows, copies, spans).select([F.col(f"`{n}`") for n in names] + ["_t", "_at", "_m"]).mapInArrow(cut, schema)
+    torn = map_texts(_torn_rows(rows, copies, spans).select([F.col(f"`{n}`") for n in names] + ["_t", "_at", "_m"]), cut, schema)
     who = maybe_broadcast(keep(spans.select("_k").union(copies.select("_k")).distinct(), "who"))
     clean = rows.join(who, "_k", "left_anti").select([F.col(f"`{n}`") for n in names])
     gone = rows.join(maybe_broadcast(copies), ["_k", "_n"], "left_semi").select([F.col(f"`{n}`") for n in names]).withColumn(text_col, F.lit(""))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._store import map_texts
 from plumbline.llm._words import Powers, chunks, mix
 
 MARK = 0x2581
@@ -172,5 +173,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), pa.array(np.diff(offsets)), pa.array(pieces.counts(data, offsets))], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long")
+    out = map_texts(rows, run, f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

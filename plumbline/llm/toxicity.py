@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import keep, maybe_broadcast
+from plumbline.llm._store import keep, map_texts, maybe_broadcast
 from plumbline.llm._words import BYTES, FOLDED_CODE, SEPARATOR, chunks, mix, prefix_sums
 
 MAX_ROWS = 4000
@@ -293,7 +293,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), pa.array(model.score(data, offsets))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
+    out = map_texts(rows, run, f"id {dict(rows.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
