@@ -41,10 +41,12 @@ def _scan_objects(text: pd.Series) -> pd.Series:
 def json_object(text: Column) -> Column:
     """The first JSON object in noisy text as JSON; NULL without one.
 
-    Texts that are an object already stay in the JVM; only the others reach the Arrow UDF."""
+    Texts that begin with an object stay in the JVM, whose parser stops where it ends; only the
+    others reach the Arrow UDF."""
     bare = F.trim(text)
-    clean = bare.startswith("{") & F.try_parse_json(bare).isNotNull()
-    return F.when(clean, bare).otherwise(F.pandas_udf(_scan_objects, "string")(F.when(~F.coalesce(clean, F.lit(False)), text)))
+    parsed = F.try_parse_json(bare)
+    clean = bare.startswith("{") & parsed.isNotNull()
+    return F.when(clean, F.to_json(parsed)).otherwise(F.pandas_udf(_scan_objects, "string")(F.when(~F.coalesce(clean, F.lit(False)), text)))
 
 
 def field(parsed: Column, name: str) -> Column:

@@ -44,7 +44,7 @@ def display_name(c: Column) -> Column:
 def answer_parts(answer: Column) -> Column:
     """The whole normalised answer and its parts between brackets, commas and semicolons."""
     text = light(answer)
-    parts = F.filter(F.transform(F.split(text, r"[()\[\],;]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"[()\[\],;]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_distinct(F.concat(F.array(text), parts))
 
 

@@ -153,10 +153,9 @@ def _(v):
     return selection.quota(v.questions, "expected_answer", ["question_id"], per_class=20).select("question_id", "expected_answer")
 
 
-@query("sel_01_quota_chosen_classes", f"WITH c AS (SELECT p_type FROM part GROUP BY p_type ORDER BY md5('5:' || p_type), p_type LIMIT 3) SELECT p_partkey, p_type FROM part WHERE p_type IN (SELECT p_type FROM c) QUALIFY {rank('p_type', 'p_partkey', 5)} <= 50")
+@query("sel_01_quota_chosen_classes", f"WITH c AS (SELECT p_type FROM part GROUP BY p_type ORDER BY md5('5:' || p_type), p_type LIMIT 3) SELECT p_partkey, p_type FROM part WHERE p_type IN (SELECT p_type FROM c) QUALIFY {rank('p_type', 'p_partkey', 5)} <= 10")
 def _(v):
-    per = 50 if v.part.count() > 1000 else 10
-    return selection.quota(v.part, "p_type", ["p_partkey"], per_class=per, classes=3, seed=5).select("p_partkey", "p_type")
+    return selection.quota(v.part, "p_type", ["p_partkey"], per_class=10, classes=3, seed=5).select("p_partkey", "p_type")
 
 
 @query("sel_02_coupled_quota")
