@@ -17,7 +17,11 @@ def read_log(spark: SparkSession, path: str | Sequence[str], schema: str) -> Dat
 
     A log is one file per run and read whole, so that a line's number is its place in it."""
     text = spark.read.option("wholetext", True).text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_line", "_text"))
+    return parse_lines(text.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_line", "_text")), schema)
+
+
+def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Records of rows (_file, _line, _text)."""
     parsed = lines.where(F.trim("_text") != "").withColumn("_r", F.from_json("_text", schema, {"mode": "PERMISSIVE"}))
     whole = F.try_parse_json("_text").isNotNull()
     return parsed.where(whole & F.col("_r").isNotNull()).select("_file", "_line", "_r.*")
