@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.store import written
+
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], into: str) -> DataFrame:
     """One row per key with an array of structs in the order of ``order``."""
@@ -68,13 +70,17 @@ def duplicate_variants(df: DataFrame, column: str, values: Sequence) -> DataFram
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index") -> DataFrame:
-    """0-based positions in a total order: sorted by range over partitions, whose sizes are then added up."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    spread = spread.withColumns({"_p": F.shiftright("_m", 33).cast("int"), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    from pyspark.sql import Window
+    """0-based positions in a total order, without one task that sees every row.
 
-    ahead = spread.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(ahead.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_m", "_p", "_i", "_b")
+    Rows are sorted by range over partitions and written, since range bounds are sampled and
+    must not differ between counting a partition and numbering its rows; counts are then added up."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    spread = spread.withColumns({"_p": F.shiftright("_m", 33).cast("int"), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m")
+    spread = written(spread)
+    ahead = spread.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row per partition of the sort
+    ahead = ahead.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return spread.join(F.broadcast(ahead.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
 def in_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import draw_key
+from plumbline.operators.reshape import with_row_index
 
 
 class Shortfall(ValueError):
@@ -17,6 +18,8 @@ class Shortfall(ValueError):
 
 def _draw(df: DataFrame, by: Sequence[str], seed: int, key: Sequence[str], first: Sequence[Column] = ()) -> DataFrame:
     order = [*first, draw_key(seed, *[F.col(c) for c in key]), *[F.col(c) for c in key]]
+    if not by:  # all rows are one group: a distributed sort, not one task
+        return with_row_index(df, order, "_r").withColumn("_r", F.col("_r") + 1)
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
@@ -55,10 +58,18 @@ def coupled_quota(boxed: DataFrame, plain: DataFrame, cls: str, key: Sequence[st
     return take(boxed, chosen), take(plain, both[:n_plain])
 
 
+def _beside(df: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row beside its group's figures; NULL is a group like any other."""
+    other = sizes.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return (df.join(other, match) if by else df.crossJoin(F.broadcast(other))).drop(*[f"_k{i}" for i in range(len(by))])
+
+
 def fraction(df: DataFrame, by: Sequence[str], key: Sequence[str], share: float, seed: int = 0) -> DataFrame:
     """round-half-even(n * share) rows of each group."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return _draw(df, by, seed, key).withColumn("_n", F.bround(n * share)).where(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    sizes = df.groupBy(*by).agg(F.bround(F.count("*") * share).alias("_n"))
+    sized = _beside(_draw(df, by, seed, key), sizes, by)
+    return sized.where(F.col("_r") <= F.col("_n")).select(*df.columns)
 
 
 def sample_n(df: DataFrame, by: Sequence[str], key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -70,9 +81,8 @@ def stratified(df: DataFrame, strata: Sequence[str], key: str, share: float, var
     """max(1, floor(n * share + 1/2)) rows of each stratum; first the variants' strata, then the
     others, of which originals of chosen variants come first, so a variant is never kept without its original
     as long as a stratum of originals is as large."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    target = F.greatest(F.lit(1), F.floor(n * share + 0.5))
-    cut = lambda d: d.withColumn("_t", target).where(F.col("_r") <= F.col("_t")).drop("_r", "_t")
+    target = F.greatest(F.lit(1), F.floor(F.count("*") * share + 0.5))
+    cut = lambda d: _beside(d, d.groupBy(*strata).agg(target.alias("_t")), strata).where(F.col("_r") <= F.col("_t")).drop("_r", "_t")
     flagged = df.withColumn("_v", variant)
     variants = cut(_draw(flagged.where("_v"), strata, seed, [key]))
     wanted = variants.select(F.col(of).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_w", F.lit(True))

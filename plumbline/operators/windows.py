@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.reshape import with_row_index
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key.  An aggregate, so a hot key is reduced before the shuffle."""
@@ -40,12 +42,27 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """One row with an array of exact, linearly interpolated quantiles of a column.
+
+    The values are numbered by a distributed sort, of which only the neighbours of each
+    quantile are looked at; an exact percentile aggregate would hold every distinct value in one task."""
+    ranked = with_row_index(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), ["_v"], "_at")
+    n = ranked.agg(F.count("*").alias("_n"))
+    places = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
+    near = ranked.crossJoin(F.broadcast(n)).where(F.array_contains(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]), F.col("_at")))
+    found = near.groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_m"))
+    at = lambda p: F.element_at("_m", F.floor(p).cast("long")) + (p - F.floor(p)) * (F.element_at("_m", F.ceil(p).cast("long")) - F.element_at("_m", F.floor(p).cast("long")))
+    return found.select(F.array(*[at(p) for p in places]).alias(name))
+
+
 def tercile_bins(df: DataFrame, value: str, labels: Sequence[str] = ("low", "medium", "high"), name: str = "quality") -> DataFrame:
     """Right-closed quantile bins with edges over all rows; equal values share a bin, NULL has none."""
     k = len(labels)
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("_e"))
+    edges = quantiles(df, value, [i / k for i in range(1, k)], "_e")
     bin_ = F.element_at(F.array(*map(F.lit, labels)), F.size(F.filter("_e", lambda e: F.col(value) > e)) + 1)
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), bin_)).drop("_e")
+    # a left join, so that a column of NULLs, which has no edges, keeps its rows
+    return df.join(F.broadcast(edges), how="left").withColumn(name, F.when(F.col(value).isNotNull(), bin_)).drop("_e")
 
 
 def fixed_bins(value: Column, edges: Sequence[float], left_closed: bool = False) -> Column:

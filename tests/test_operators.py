@@ -47,6 +47,13 @@ def test_stratified_keeps_variants_with_their_originals(spark):
     assert kept[0.2] <= kept[0.5] <= kept[0.6] <= kept[1.0]
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a", "x") for i in range(20)], "id int, g string, kind string")
+    assert {r.g: r.n for r in selection.fraction(df, ["g"], ["id"], 0.3).groupBy("g").agg(F.count("*").alias("n")).collect()} == {None: 3, "a": 3}
+    got = selection.stratified(df, ["g"], "id", 0.5, F.lit(False), "id")
+    assert {r.g: r.n for r in got.groupBy("g").agg(F.count("*").alias("n")).collect()} == {None: 5, "a": 5}
+
+
 def test_folds_and_distractors(spark):
     sizes = {r["n"] for r in selection.folds(frame(spark, 52), ["id"]).groupBy("fold").agg(F.count("*").alias("n")).collect()}
     assert sizes == {10, 11}
