@@ -77,6 +77,18 @@ def release() -> None:
         trim(0)
 
 
+def lean_group(run: Callable) -> Callable:
+    """A function of a group (or of two) after which memory is given back."""
+
+    def lean(key, *tables):
+        try:
+            return run(key, *tables)
+        finally:
+            release()
+
+    return (lambda key, table: lean(key, table)) if run.__code__.co_argcount == 2 else (lambda key, a, b: lean(key, a, b))
+
+
 def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow for rows that hold whole texts: small batches, and memory is given back at the end."""
     conf = df.sparkSession.conf

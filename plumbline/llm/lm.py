@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep, map_texts, partitions
+from plumbline.llm._store import discard, keep, lean_group, map_texts, partitions
 from plumbline.llm._words import Words, chunks, mix
 
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -262,12 +262,12 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
     kind = dict(rows.dtypes)["id"]
     rows = map_texts(rows, _parcel(parts), f"batch int, ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary")
-    sent = rows.groupBy("batch").applyInArrow(_send(parts), "shard int, batch int, names binary, counts binary")
-    counts = keep(sent.groupBy("shard").applyInArrow(_add_up, "batch int, shard int, counts binary, wide boolean, tokens long, types long"), "counts")
+    sent = rows.groupBy("batch").applyInArrow(lean_group(_send(parts)), "shard int, batch int, names binary, counts binary")
+    counts = keep(sent.groupBy("shard").applyInArrow(lean_group(_add_up), "batch int, shard int, counts binary, wide boolean, tokens long, types long"), "counts")
     _free(docs)
     total = counts.where("batch = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     back = counts.where("batch >= 0").select("batch", "shard", "counts", "wide")
-    both = lambda f, schema: rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(f, schema)
+    both = lambda f, schema: rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(lean_group(f), schema)
     cells = both(_cells(total.n, total.v), "cell long, n double, f2 double, f1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "f2", "f1")]).orderBy("cell").toArrow()
     _free(docs)
     n, f2, f1 = (cells.column(c).to_numpy() for c in ("n", "f2", "f1"))
