@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontam, hnsw, langid, lm, mixing, suffix, tokens, toxicity
+from plumbline.llm import chat, decontam, hnsw, langid, lm, mixing, oracles, suffix, tokens, toxicity
 from plumbline.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,4 +64,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+        "op6_chat_format": chat.ORACLE_SQL,
+        "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
+        "op9_mix_sources": mixing.ORACLE_SQL,
+    }
