@@ -29,8 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from all of them that name their language."""
     model = langid.train(docs, F.lit(True))
-    columns = docs.columns
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(columns) if model.names else docs
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model, into=("_language", "_share", "_languages"))
+    return found.where("_language <> 'und'").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

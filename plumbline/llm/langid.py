@@ -133,13 +133,14 @@ def train(docs: DataFrame, training: Column, text_col: str = "text", lang_col: s
     return Model(names, counts, penalty)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (the language's share of the text) and languages (the chosen set)."""
-    names = docs.columns
+def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
+    """``docs`` with the language, its share of the text and the chosen set, as the columns ``into``;
+    columns of ``docs`` by these names are replaced."""
+    names = [n for n in docs.columns if n not in into]
     text = F.col(f"`{text_col}`").cast("string")
     # a Java class, because it knows the letters of every script
     rows = docs.select(*[F.col(f"`{n}`") for n in names], F.when(text.rlike(r"\p{L}"), text).alias("_text_"))
-    extra = "lang_pred string, score double, languages array<string>"
+    extra = f"{into[0]} string, {into[1]} double, {into[2]} array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +157,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     pa.array(np.where(known, np.clip(share.max(axis=1, initial=0), 0, 1), 0.0).astype(np.float64)),
                     pa.array([[model.names[j] for j in np.flatnonzero(s)] if k else [] for s, k in zip(share, known, strict=True)], pa.list_(pa.string())),
                 ],
-                [*names, "lang_pred", "score", "languages"],
+                [*names, *into],
             )
 
     schema = rows.drop("_text_").schema.simpleString()  # struct<a:int,...>
