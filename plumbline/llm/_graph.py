@@ -1,11 +1,11 @@
-"""Connected components of an edge table by alternating stars, without a driver-side graph."""
+"""Connected components of an edge table by hooking and jumping labels, without a driver-side graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep
+from plumbline.llm._store import discard, keep, salted_join
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,10 +23,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hooked = labels.join(around, "v").select("v", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         # what a label's own vertex has learnt from any of its members
         up = hooked.groupBy(F.col("old").alias("comp")).agg(F.min("comp").alias("up")).where("comp <> up")
-        nxt = hooked.join(up, "comp", "left").select("v", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
+        nxt = salted_join(hooked, up, "comp", "v", "left").select("v", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
         nxt = keep(nxt, "labels")
         jump = nxt.select(F.col("v").alias("comp"), F.col("comp").alias("top")).where("comp <> top")
-        nxt2 = keep(nxt.join(jump, "comp", "left").select("v", "old", F.coalesce("top", "comp").alias("comp")), "labels")
+        nxt2 = keep(salted_join(nxt, jump, "comp", "v", "left").select("v", "old", F.coalesce("top", "comp").alias("comp")), "labels")
         changed = nxt2.where("comp <> old").limit(1).count()
         discard(labels, nxt)
         labels = nxt2.select("v", "comp")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep, map_texts, maybe_broadcast
+from plumbline.llm._store import discard, keep, map_texts, maybe_broadcast, salted_join
 from plumbline.llm._words import BYTE_CODE, BYTES, chunks, mix, prefix_sums
 
 #: Bytes hashed for a trigger; no trigger may depend on bytes outside its window.
@@ -164,7 +164,7 @@ def repeats(keyed: DataFrame, counts: DataFrame, length: int = 400) -> tuple[Dat
     shared = keep(parsed.join(cores.hint("shuffle_merge"), "g"), "shared")
     wholes = keep(shared.where("not same").groupBy("g", "f").agg(F.count("*").alias("c"), F.min("k").alias("k")), "wholes")
     torn = wholes.groupBy("g").agg(F.min("c").alias("least")).where("least = 1").select("g")
-    ask = wholes.join(torn, "g").groupBy("k").agg(F.collect_set("f").alias("every"), F.collect_set(F.when(F.col("c") == 1, F.col("f"))).alias("alone"))
+    ask = salted_join(wholes, torn, "g", "f").groupBy("k").agg(F.collect_set("f").alias("every"), F.collect_set(F.when(F.col("c") == 1, F.col("f"))).alias("alone"))
     ask = keep(ask, "ask")
     who = keep(ask.select(F.col("k").alias("_k")), "who")
     few = long.join(maybe_broadcast(who), "_k", "left_semi").select(F.col("_k").alias("k"), "_t")
