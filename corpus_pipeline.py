@@ -2,8 +2,8 @@
 
 Each stage gets what its predecessor kept and returns the columns of documents;
 the last returns the mix.  Nulls, empty texts, repeated rows and empty tables have the
-results that the operators define; a document with a null id is never dropped
-by a stage that names documents by id.
+results that the operators define.  Ids may be null or stand on several rows: a
+stage that drops documents names them by a row key of its own.
 """
 
 from __future__ import annotations
@@ -19,9 +19,14 @@ from plumbline.llm._store import keep, maybe_broadcast
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows with one of the ids (doc_id)."""
-    return docs.join(maybe_broadcast(keep(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")), "doc_id", "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a kept table with _row, another number on every row."""
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``numbered`` but for the dropped rows (_row), and without the numbers."""
+    return numbered.join(maybe_broadcast(keep(dropped.select("_row").distinct(), "dropped")), "_row", "left_anti").drop("_row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +41,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    groups = minhash.near_duplicates(docs)
-    return _without(docs, groups.where("not kept").select("doc_id"))
+    """One row of each near-duplicate group, that with the smallest id; a null id comes last."""
+    numbered = _numbered(docs)
+    groups = keep(minhash.near_duplicates(numbered, "_row").select("_row", "component_id", "kept"), "groups")
+    several = keep(groups.where("not kept").select("component_id").distinct(), "several")
+    members = groups.join(maybe_broadcast(several), "component_id", "left_semi").join(numbered.select("_row", "doc_id"), "_row")
+    members = keep(members, "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    return _without(numbered, members.join(first, "_row", "left_anti"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +63,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return _without(docs, decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    numbered = _numbered(docs)
+    return _without(numbered, decontam.contaminated(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

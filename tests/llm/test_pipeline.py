@@ -40,3 +40,25 @@ def test_odd_documents(spark):
         assert stage(spark, spark.createDataFrame([], schema), "/root/testdata/sf0.001").count() == 0
         kept = [tuple(r) for r in out.collect()]
         assert (None, "the words", "en", None, 9) in kept
+
+
+def test_repeated_rows_and_null_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = "/root/testdata/sf0.001"
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(120)) for w in ("alpha", "beta", "gamma", "delta"))
+    item = next(r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(r.text.split()) > 5)
+    dirty = f"{item} " + " ".join(f"tail{k}" for k in range(120))
+    rows = [row(7, one), row(7, one), row(None, one), row(None, two), row(None, two), row(9, three), row(8, three + " more"), row(8, four), row(5, dirty), row(5, "clean words of an id that stands twice"), row(None, dirty + " again and again")]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(pipeline.STAGES)
+    texts = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+    left = stages["near_duplicates"](spark, docs, folder)
+    want = [(7, one), (None, two), (8, three + " more"), (8, four), (5, dirty), (5, rows[9][1])]
+    assert texts(left) == sorted(want, key=str)
+    left = stages["repeated_passages"](spark, left, folder)
+    assert texts(left) == sorted(want, key=str)
+    assert texts(stages["decontaminated"](spark, left, folder)) == sorted([w for w in want if w[1] != dirty], key=str)
+    clean = [r for r in rows if not r[1].startswith(dirty)]
+    assert texts(stages["decontaminated"](spark, docs, folder)) == sorted([r[:2] for r in clean], key=str)
