@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash over item-sized windows.
 
-Every window of as many words as an item has gets a 64-bit SimHash of its five-word
-shingles.  Two fingerprints within RADIUS bits agree in one of eight bytes up to
+Every window of as many words as an item has gets a 64-bit SimHash of its distinct
+five-word shingles.  Two fingerprints within RADIUS bits agree in one of eight bytes up to
 RADIUS // 8 bits, so the items are indexed under every byte value that close to
 their own, and every window looks up its eight bytes: no fingerprint within the
 radius is missed.  Candidates are verified by the exact weighted Jaccard similarity
@@ -34,6 +34,8 @@ from plumbline.llm._words import SEQ_A, Words, chunks, mix, prefix_sums
 #: At a similarity of 0.75 about 11 of 64 bits differ, with a deviation of 3.
 RADIUS = 22
 BYTES = 8
+#: A shingle's weight of 1 in a fingerprint.
+UNITS = 1 << 28
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -44,14 +46,41 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size : size + n] - sums[:n]) * down[:n] + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def signed(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Every bit's signed weight, in whole units: their sums are exact in any order."""
+    bits = ((mix(shingles ^ np.uint64(0x2545F4914F6CDD1D))[:, None] >> _BIT) & np.uint64(1)).astype(np.float64) * 2 - 1
+    return bits * np.rint(weights * UNITS)[:, None]
+
+
 def planes(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Prefix sums of every bit's signed weights, (n + 1) x 64."""
-    bits = ((mix(shingles ^ np.uint64(0x2545F4914F6CDD1D))[:, None] >> _BIT) & np.uint64(1)).astype(np.float64) * 2 - 1
     out = np.zeros((len(shingles) + 1, 64))
-    np.cumsum(bits * weights[:, None], axis=0, out=out[1:])
+    np.cumsum(signed(shingles, weights), axis=0, out=out[1:])
     return out
 
 
+def repeats(shingles: np.ndarray) -> np.ndarray:
+    """Where each shingle stood last before, or -1."""
+    order = np.argsort(shingles, kind="stable")
+    before = np.full(len(shingles), -1)
+    twin = shingles[order[1:]] == shingles[order[:-1]]
+    before[order[1:][twin]] = order[:-1][twin]
+    return before
+
+
+def surplus(shingles: np.ndarray, weights: np.ndarray, before: np.ndarray, m: int) -> np.ndarray | None:
+    """For each window of ``m`` shingles what occurrences after the first add to its signed weights."""
+    again = np.flatnonzero((before >= 0) & (np.arange(len(before)) - before < m))
+    if not len(again):
+        return None
+    each = signed(shingles[again], weights[again])
+    out = np.zeros((len(shingles) + 1, 64))
+    # the windows that begin at the one before or earlier and reach this one
+    np.add.at(out, np.maximum(again - m + 1, 0), each)
+    np.add.at(out, before[again] + 1, -each)
+    return np.cumsum(out, axis=0, out=out)
+
+
 def fingerprint(sums: np.ndarray) -> np.ndarray:
     """SimHashes as eight bytes each."""
     return np.packbits(sums > 0, axis=1)
@@ -124,7 +153,9 @@ class Items:
             weights = self.weigh(local)
             sums = planes(local, weights)
             at = starts - lo
-            print_ = fingerprint(sums[at + m] - sums[at])
+            before = repeats(local)
+            more = surplus(local, weights, before, m)
+            print_ = fingerprint(sums[at + m] - sums[at] - (0 if more is None else more[at]))
             candidate = index[0][print_[:, 0]]
             for b in range(1, BYTES):
                 candidate = candidate | index[b][print_[:, b]]
@@ -134,10 +165,6 @@ class Items:
             if not len(w):
                 continue
             total = np.concatenate([[0.0], np.cumsum(weights)])
-            order = np.argsort(local, kind="stable")
-            before = np.full(len(local), -1)
-            twin = local[order[1:]] == local[order[:-1]]
-            before[order[1:][twin]] = order[:-1][twin]
             for item in np.unique(i):
                 inside = np.isin(local, sets[item])
                 shared = np.concatenate([[0.0], np.cumsum(weights * inside)])

@@ -43,3 +43,18 @@ def test_odd_rows(spark):
     real = [(i, t) for i, t in items if t]
     assert run(spark, docs, items) == pytest.approx(brute.contaminated(docs, real))
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
+
+
+def test_items_that_repeat_a_run(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, docs = [], []
+    for i in range(30):
+        run_ = rng.choices(vocabulary, k=rng.choice([1, 1, 2, 6]))
+        items.append((i, " ".join(rng.choices(vocabulary, k=8) + run_ * rng.randint(5, 14) + rng.choices(vocabulary, k=9))))
+        docs.append((100 + i, " ".join(rng.choices(vocabulary, k=70) + items[i][1].split() + rng.choices(vocabulary, k=70))))
+    want = brute.contaminated(docs, items)
+    assert all(want[100 + i, i] == pytest.approx(1) for i in range(30))
+    assert run(spark, docs, items) == pytest.approx(want)
+    exact = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.bits_apart for r in exact.collect() if r.doc_id == 100 + r.item_id} == {0}
