@@ -58,3 +58,28 @@ def test_items_that_repeat_a_run(spark):
     assert run(spark, docs, items) == pytest.approx(want)
     exact = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.bits_apart for r in exact.collect() if r.doc_id == 100 + r.item_id} == {0}
+
+
+def test_results_do_not_depend_on_blocks(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    stem = "answer the following question with one of the letters given below and explain why".split()
+    items = [(i, " ".join(stem + rng.choices(vocabulary, k=rng.randint(4, 30)))) for i in range(30)] + [(90, "tiny item"), (91, "tiny item"), (92, "three small words")]
+    docs = [(100 + i, " ".join(rng.choices(vocabulary, k=20) + stem * (i % 2) + t.split()[i % 16 :] + rng.choices(vocabulary, k=20))) for i, t in items]
+    docs += [(300, " ".join(stem)), (301, " ".join(stem + rng.choices(vocabulary, k=9))), (302, "tiny item"), (None, items[3][1]), (302, items[4][1])]
+    got = []
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for words in (1_000_000, 400, 120):
+        rows = contaminated(d, b, block_words=words).collect()
+        got.append(sorted(((r.doc_id or 0, r.item_id, round(r.similarity, 9), r.first_word, r.n_words, r.bits_apart) for r in rows)))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
+    want = brute.contaminated([(i or 0, t) for i, t in docs if i != 302] + [(302, "tiny item")], items)
+    assert {r[:2]: r[2] for r in got[0] if r[0] != 302} == pytest.approx({k: v for k, v in want.items() if k[0] != 302})
+
+
+def test_blocks_of_edited_passages_equal_brute_force(spark):
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(vocabulary[:12] + rng.choices(vocabulary, k=rng.randint(14, 60)))) for i in range(24)]
+    docs = [(100 + i, " ".join(rng.choices(vocabulary, k=40) + t.split() + rng.choices(vocabulary, k=40))) for i, t in items]
+    assert run(spark, docs, items, block_words=100) == pytest.approx(brute.contaminated(docs, items))
