@@ -5,7 +5,9 @@ vectors by hash.  A shard's graph is built layer by layer with batches of insert
 beams run for many queries at once in numpy.  Every vector queries every shard of its
 label (each pair of shards once, from one side).  A beam that holds nothing but links is
 widened, and all beams of a task are widened until a brute-force audit of some
-of its queries finds no link missing; beyond MAX_BEAM the rest is scanned exactly.
+of its queries finds no link missing; beyond MAX_BEAM the rest is scanned exactly.  Between two
+shards links may be so rare that no audited query has one: there copies of the searched shard's own
+vectors, as far off as a link may be, are searched too, and RECALL of these must be found.
 Every link is verified by its cosine in double precision.
 
 A task returns each vector's number of links and a spanning set of edges, never the pairs.
@@ -30,6 +32,8 @@ from plumbline.llm._store import discard, keep
 
 SHARD = 8192
 DEGREE, BEAM, MAX_BEAM, AUDIT, RECALL = 12, 48, 384, 48, 0.995
+#: Planted queries of a search in another shard.
+PLANTED = 600
 _BLOCK = 256
 
 
@@ -176,18 +180,34 @@ class Graph:
         order = np.argsort(-sim, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1), np.concatenate(hits)
 
+    def planted(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, queries): nodes by lot, and for each a vector with a cosine of ``least`` to it."""
+        rng = np.random.default_rng(13)
+        nodes = rng.choice(len(self.x), min(PLANTED, len(self.x)), replace=False)
+        at = self.x[nodes].astype(np.float64)
+        off = rng.normal(size=at.shape)
+        off -= np.einsum("kd,kd->k", off, at)[:, None] * at
+        off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-9)
+        return nodes, (least * at + math.sqrt(max(0.0, 1 - least * least)) * off).astype(np.float32)
+
     def near(self, q: np.ndarray, least: float, own: bool) -> np.ndarray:
         """Pairs (query, node) with a cosine of ``least`` or a hair less."""
         soft = least - 1e-4
-        if not len(q) or not len(self.x):
+        n = len(q)
+        if not n or not len(self.x):
             return np.zeros((0, 2), np.int64)
-        entry = np.arange(len(q)) if own else self.entries(q, 1 if len(self.layers) > 1 else 0)
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+        audit = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
         truth = q[audit] @ self.x.T >= soft
+        nodes = np.zeros(0, np.int64)
+        if not own:
+            nodes, more = self.planted(least)
+            q = np.concatenate([q, more])
+        entry = np.arange(n) if own else self.entries(q, 1 if len(self.layers) > 1 else 0)
         beam, todo, found = BEAM, np.arange(len(q)), np.zeros((0, 2), np.int64)
         while len(todo):
             if beam > MAX_BEAM:
-                return np.concatenate([found[~np.isin(found[:, 0], todo)], self._scan(q, todo, soft)])
+                found = np.concatenate([found[~np.isin(found[:, 0], todo)], self._scan(q, todo[todo < n], soft)])
+                break
             again = []
             found = found[~np.isin(found[:, 0], todo)]
             parts = [found]
@@ -204,9 +224,17 @@ class Graph:
             crowded = np.concatenate(again)
             checked = ~np.isin(audit, crowded)
             missed = (truth & ~got)[checked].sum()
-            todo = np.arange(len(q)) if missed > (1 - RECALL) * max(truth[checked].sum(), 1) else crowded
+            failed = missed > (1 - RECALL) * max(truth[checked].sum(), 1)
+            if not own:
+                ours = found[found[:, 0] >= n] - [n, 0]
+                met = np.zeros(len(nodes), bool)
+                met[ours[nodes[ours[:, 0]] == ours[:, 1], 0]] = True
+                lost = ~met[~np.isin(np.arange(n, len(q)), crowded)]
+                # an audit without a link shows nothing
+                failed |= lost.sum() > (1 - RECALL) * len(lost) or not (len(lost) or truth[checked].any())
+            todo = np.arange(len(q)) if failed else crowded
             beam *= 2
-        return found
+        return found[found[:, 0] < n]
 
     def _scan(self, q, rows, soft):
         out = [np.zeros((0, 2), np.int64)]

@@ -65,6 +65,25 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_rare_links_to_another_shard():
+    rng = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    x, q = unit(rng.normal(size=(5000, 48))), unit(rng.normal(size=(3000, 48)))
+    audited = np.linspace(0, len(q) - 1, 48).astype(int)
+    some = np.setdiff1d(np.arange(0, len(q), 12), audited)
+    q[some] = unit(x[rng.choice(len(x), len(some), replace=False)] + rng.normal(size=(len(some), 48)) * 0.02)
+    truth = {tuple(p) for p in np.argwhere(q @ x.T >= 0.98)}
+    assert len(truth) > 200 and not {r for r, _ in truth} & set(audited)
+    graph = Graph(x)
+    got = {tuple(p) for p in graph.near(q, 0.98, False)}
+    assert len(truth - got) <= 0.005 * len(truth), f"{len(truth - got)} of {len(truth)} lost"
+    assert max(r for r, _ in got) < len(q)
+    # a graph in which a seventh of the nodes cannot be reached is found out
+    for _, links in graph.layers:
+        links[links % 7 == 0] = -1
+    assert {tuple(p) for p in graph.near(q, 0.98, False)} == truth
+
+
 def test_graph_recall():
     x = clustered(np.random.default_rng(0), 4000, 32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
