@@ -35,7 +35,7 @@ class ScoreRule:
 
 
 def log_scale(v: Column, low: float, high: float) -> Column:
-    return F.when(v <= low, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.ln(v / low) / F.ln(F.lit(high / low))))
+    return F.when(v <= low, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.ln(v / low) / F.ln(F.lit(high) / F.lit(low))))
 
 
 def density_score(count: Column, coverage: Column, rule: ScoreRule = ScoreRule()) -> Column:

@@ -1,23 +1,25 @@
-"""Density rules fitted to labelled images.
+"""Density rules fitted to labelled images, by aggregates alone.
 
-The label table is hand-made and small; what is fitted to it runs on the driver only through
-sums: candidate rules are scored by one distributed aggregate each round, and a tree's splits by
-class counts per feature value."""
+A score rule is searched one number at a time: its candidates are quantiles of what the number is
+held against in the data, and one aggregate scores all of them.  A tree grows level by level from
+one histogram of all open nodes; the best cut of each node is picked by a window over its bins,
+so the driver sees one row per node whatever the table's size."""
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.density import CLASSES, ScoreRule, density_level, tree_column
+from plumbline.functions.density import CLASSES, ScoreRule, density_level, density_score, tree_column
 from plumbline.operators.selection import folds
 
 FEATURES = ("count", "coverage", "typical_size", "spread")
 
+#: Cuts tried on a feature: every value where it has no more than this many, else as many quantiles.
+BINS = 256
+
 
 def measure(df: DataFrame, label: str, guess: Column) -> DataFrame:
     """Agreement of a rule: n, exact, within_one, mean_error."""
@@ -26,103 +28,143 @@ def measure(df: DataFrame, label: str, guess: Column) -> DataFrame:
 
 
 def losses(df: DataFrame, label: str, rules: Sequence[ScoreRule]) -> list[int]:
-    """Total class distance of each rule, in one pass."""
-    level = [F.sum(F.abs(density_level(F.col("count"), F.col("coverage"), r) - F.col(label))).alias(f"l{k}") for k, r in enumerate(rules)]
-    row = df.agg(*level).first()
-    return [int(v or 0) for v in row]
-
-
-def tidy(rule: ScoreRule) -> ScoreRule:
-    """The nearest rule within bounds, with round thresholds."""
-    clamp = lambda v, lo, hi: max(lo, min(hi, v))
-    two = lambda v: float(f"{v:.2g}")
-    low = two(clamp(rule.coverage_scale[0], 0.0002, 0.1))
-    medium = round(clamp(rule.medium_score, 0.02, 0.9), 2)
-    few = int(clamp(round(rule.medium_min_count), 1, 10))
-    return ScoreRule(
-        (1, int(clamp(round(rule.count_scale[1]), 3, 300))), (low, two(clamp(rule.coverage_scale[1], 2 * low, 1))),
-        medium, round(clamp(rule.high_score, medium + 0.02, 0.98), 2), few, int(clamp(round(rule.high_min_count), few, 40)),
-    )
-
-
-def fit_rule(df: DataFrame, label: str, start: ScoreRule, rounds: int = 4, batch: int = 40, seed: int = 1) -> ScoreRule:
-    """A rule no worse than ``start``: a random sweep, then narrowing nudges around the best."""
-    rng = random.Random(seed)
-    rows = df.select("count", "coverage", label).cache()
-    best = tidy(start)
+    """Total class distance of each rule, in one pass: the rules are data, so one plan serves all."""
+    numbers = [(*r.count_scale, *r.coverage_scale, r.medium_score, r.high_score, r.medium_min_count, r.high_min_count) for r in rules]
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in n]) for n in numbers])
+    each = df.select("count", "coverage", F.col(label).alias("label"), F.posexplode(table).alias("rule", "r"))
+    c0, c1, v0, v1, *rest = [F.col("r")[k] for k in range(8)]
+    off = F.abs(density_level(F.col("count"), F.col("coverage"), ScoreRule((c0, c1), (v0, v1), *rest)) - F.col("label"))
+    found = {r.rule: r.loss for r in each.groupBy("rule").agg(F.sum(off).alias("loss")).collect()}
+    return [int(found.get(k) or 0) for k in range(len(rules))]
+
+
+def quantiles(df: DataFrame, values: Sequence[Column], steps: int) -> list[list[float]]:
+    """The distinct values at ``steps`` + 1 even ranks of each column, in one aggregate."""
+    ranks = [k / steps for k in range(steps + 1)]
+    row = df.agg(*[F.percentile_approx(v.cast("double"), ranks, 10_000).alias(f"q{k}") for k, v in enumerate(values)]).first()
+    return [sorted(set(q or [])) for q in row]
+
+
+def _variants(rule: ScoreRule, number: str, values: Sequence[float]) -> list[ScoreRule]:
+    """``rule`` with one of its numbers set to each value that leaves it a rule."""
+    out = []
+    for v in values:
+        change = {
+            "count_low": lambda v: {"count_scale": (v, rule.count_scale[1])},
+            "count_high": lambda v: {"count_scale": (rule.count_scale[0], v)},
+            "coverage_low": lambda v: {"coverage_scale": (v, rule.coverage_scale[1])},
+            "coverage_high": lambda v: {"coverage_scale": (rule.coverage_scale[0], v)},
+        }.get(number, lambda v: {number: int(v) if number.endswith("count") else v})(v)
+        try:
+            out.append(rule.with_(**change))
+        except ValueError:
+            continue
+    return out
+
+
+def _descend(rows: DataFrame, label: str, rule: ScoreRule, counts: list[float], covers: list[float], steps: int, rounds: int) -> tuple[int, ScoreRule]:
+    least = losses(rows, label, [rule])[0]
+    for _ in range(rounds):
+        before = least
+        for number in ("count_high", "coverage_low", "coverage_high", "medium_score", "high_score", "medium_min_count", "high_min_count", "count_low"):
+            if number.endswith("score"):
+                values = quantiles(rows, [density_score(F.col("count"), F.col("coverage"), rule)], steps)[0]
+            else:
+                values = covers if number.startswith("coverage") else counts
+            tries = _variants(rule, number, values)
+            for loss, one in zip(losses(rows, label, tries) if tries else [], tries, strict=True):
+                if loss < least:
+                    least, rule = loss, one
+        if least == before:
+            break
+    return least, rule
+
+
+def fit_rule(df: DataFrame, label: str, start: ScoreRule, steps: int = 24, rounds: int = 6) -> ScoreRule:
+    """A rule no worse than ``start``: the better of the descents from ``start`` and from scales that
+    span the middle nine tenths of the data.  It is deterministic."""
+    rows = df.select("count", "coverage", label).where(F.col(label).isNotNull()).cache()
     try:
-        best_loss = losses(rows, label, [best])[0]
-        for r in range(rounds):
-            width = 1.0 if r == 0 else 0.5**r
-            tries = []
-            for _ in range(batch):
-                if r == 0:
-                    m, few = rng.uniform(0.05, 0.7), rng.randint(1, 4)
-                    tries.append(tidy(ScoreRule((1, math.exp(rng.uniform(1.4, 5.3))), (math.exp(rng.uniform(-7.6, -3)), math.exp(rng.uniform(-3.5, 0))), m, rng.uniform(m + 0.05, 0.95), few, few + rng.randint(0, 11))))
-                else:
-                    f = lambda: math.exp(rng.uniform(-width, width))  # noqa: E731, B023
-                    tries.append(tidy(ScoreRule((1, best.count_scale[1] * f()), (best.coverage_scale[0] * f(), best.coverage_scale[1] * f()), best.medium_score + rng.uniform(-0.1, 0.1) * width, best.high_score + rng.uniform(-0.1, 0.1) * width, best.medium_min_count + rng.randint(-1, 1), best.high_min_count + rng.randint(-1, 1))))
-            got = losses(rows, label, tries)
-            k = min(range(len(tries)), key=got.__getitem__)
-            if got[k] < best_loss:
-                best, best_loss = tries[k], got[k]
-        return best
+        counts, covers = quantiles(rows.where("count > 0"), [F.col("count"), F.when(F.col("coverage") > 0, F.col("coverage"))], steps)
+        starts = [start.checked()]
+        if len(counts) > 2 and len(covers) > 2:
+            inner = lambda q: (q[len(q) // 20], q[-1 - len(q) // 20])
+            starts += _variants(start.with_(coverage_scale=inner(covers)), "count_high", [inner(counts)[1]])
+        return min((_descend(rows, label, s, counts, covers, steps, rounds) for s in starts), key=lambda found: found[0])[1]
     finally:
         rows.unpersist()
 
 
-def _gini(counts: Sequence[float]) -> float:
-    n = sum(counts)
-    return 1 - sum((c / n) ** 2 for c in counts) if n else 0.0
-
-
-def _majority(counts: Sequence[int]) -> int:
-    """The commonest class; of equal ones the nearest to the mean."""
-    mean = sum(k * c for k, c in enumerate(counts)) / max(1, sum(counts))
-    return max(range(len(counts)), key=lambda k: (counts[k], -abs(k - mean), -k))
-
-
-def fit_tree(df: DataFrame, label: str, depth: int = 3, least: int = 5, features: Sequence[str] = FEATURES) -> dict:
-    """A Gini tree {feature, threshold, below, above} / {label, counts}; the driver sees class counts per value."""
-    return _grow(df, label, depth, least, features)
-
-
-def _grow(df: DataFrame, label: str, depth: int, least: int, features: Sequence[str]) -> dict:
-    kinds = range(len(CLASSES))
-    tally = lambda rows: [sum(r[f"c{k}"] for r in rows) for k in kinds]
-    stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features])).alias("s")
-    table = df.select(label, stacked).groupBy("s.f", "s.v").agg(*[F.count_if(F.col(label) == k).alias(f"c{k}") for k in kinds]).orderBy("f", "v").collect()
-    counts = tally([r for r in table if r["f"] == features[0]])
-    leaf = {"label": _majority(counts), "counts": counts}
-    total, pure = sum(counts), _gini(counts)
-    if depth == 0 or pure == 0 or total < 2 * least:
-        return leaf
-    best = None
-    for f in features:
-        rows, below = [r for r in table if r["f"] == f], [0] * len(CLASSES)
-        for r, nxt in zip(rows, rows[1:], strict=False):
-            below = [b + r[f"c{k}"] for k, b in enumerate(below)]
-            n = sum(below)
-            if min(n, total - n) < least:
-                continue
-            mixed = (n * _gini(below) + (total - n) * _gini([c - b for c, b in zip(counts, below, strict=True)])) / total
-            if mixed < (best[0] if best else pure) - 1e-9:
-                best = mixed, f, _between(r["v"], nxt["v"], f in ("count", "spread"))
-    if best is None:
-        return leaf
-    _, f, cut = best
-    low, high = (_grow(df.where(c), label, depth - 1, least, features) for c in (F.col(f) < cut, F.col(f) >= cut))
-    if "label" in low and low["label"] == high.get("label"):
-        return leaf
-    return {"feature": f, "threshold": cut, "below": low, "above": high}
-
-
-def _between(low: float, high: float, whole: bool) -> float:
-    """A round threshold above low and at most high."""
-    if whole or low <= 0:
-        return high
-    middle = math.sqrt(low * high)
-    return next((t for t in (float(f"{middle:.{d}g}") for d in (2, 3)) if low < t <= high), high)
+def _place(splits: dict[int, tuple[str, float]], node: int = 1) -> Column:
+    """The node a row falls into; node n has the children 2n (below) and 2n + 1."""
+    if node not in splits:
+        return F.lit(node)
+    feature, cut = splits[node]
+    return F.when(F.col(feature) < cut, _place(splits, 2 * node)).otherwise(_place(splits, 2 * node + 1))
+
+
+def best_splits(placed: DataFrame, label: str, edges: dict[str, list[float]], least: int) -> DataFrame:
+    """(node, feature, bin, gain): for every node the cut that leaves the purest sides.
+
+    Rows of a bin b or lower lie below the feature's edge b.  The gain is what the
+    sides' sums of squared class counts over their sizes have over the node's, n times
+    the fall of Gini impurity; ties go to the feature named first, then to the lower cut."""
+    squares = lambda counts, n: F.coalesce(F.try_divide(sum(c * c for c in counts), n), F.lit(0.0))
+    reached = lambda f, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e <= F.col(f)))
+    bins = [F.struct(F.lit(k).alias("ord"), F.lit(f).alias("feature"), reached(f, cuts).alias("bin")) for k, (f, cuts) in enumerate(edges.items()) if cuts]
+    kinds = [f"c{k}" for k in range(len(CLASSES))]
+    stacked = placed.select("node", F.col(label).alias("label"), F.explode(F.array(*bins)).alias("b")).select("node", "label", "b.*")
+    table = stacked.groupBy("node", "ord", "feature", "bin").agg(*[F.count_if(F.col("label") == k).alias(c) for k, c in enumerate(kinds)])
+    every = Window.partitionBy("node", "feature")
+    up_to = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    table = table.select("node", "ord", "feature", "bin", *[F.sum(c).over(up_to).alias(f"b{c}") for c in kinds], *[F.sum(c).over(every).alias(f"a{c}") for c in kinds])
+    below, whole = [F.col(f"b{c}") for c in kinds], [F.col(f"a{c}") for c in kinds]
+    above = [a - b for a, b in zip(whole, below, strict=True)]
+    gain = squares(below, sum(below)) + squares(above, sum(above)) - squares(whole, sum(whole))
+    fair = table.withColumn("gain", F.round(gain, 9)).where((sum(below) >= least) & (sum(above) >= least) & (F.col("gain") > 0))
+    best = fair.groupBy("node").agg(F.max_by(F.struct("feature", "bin", "gain"), F.struct("gain", -F.col("ord"), -F.col("bin"))).alias("best"))
+    return best.select("node", "best.*")
+
+
+def leaves(placed: DataFrame, label: str) -> DataFrame:
+    """(node, label, counts): a node's commonest class, of equal ones that nearest to the mean, then the lower."""
+    each = placed.groupBy("node", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    node = Window.partitionBy("node")
+    off = F.abs(F.col("label") - F.sum(F.col("label") * F.col("n")).over(node) / F.sum("n").over(node))
+    ranked = each.withColumn("off", F.round(off, 9))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k.cast("long")), F.lit(0)))
+    found = ranked.groupBy("node").agg(
+        F.max_by("label", F.struct("n", -F.col("off"), -F.col("label"))).alias("label"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("long"), "n"))).alias("m"),
+    )
+    return found.select("node", "label", counts.alias("counts"))
+
+
+def fit_tree(df: DataFrame, label: str, depth: int = 3, least: int = 5, features: Sequence[str] = FEATURES, bins: int = BINS) -> dict:
+    """A Gini tree {feature, threshold, below, above} / {label, counts}; a threshold is a value of the data.
+
+    Rows without a label are left out; a missing feature lies above every cut."""
+    rows = df.select(F.col(label), *features).where(F.col(label).isNotNull()).cache()
+    try:
+        edges = dict(zip(features, quantiles(rows, [F.col(f) for f in features], bins), strict=True))
+        splits: dict[int, tuple[str, float]] = {}
+        for level in range(depth if any(edges.values()) else 0):
+            placed = rows.withColumn("node", _place(splits)).where(F.col("node") >= 1 << level)
+            got = best_splits(placed, label, edges, least).collect()  # one row a node
+            if not got:
+                break
+            splits |= {r.node: (r.feature, edges[r.feature][r.bin]) for r in got}
+        ends = {r.node: {"label": r.label, "counts": list(r.counts)} for r in leaves(rows.withColumn("node", _place(splits)), label).collect()}
+    finally:
+        rows.unpersist()
+    for node in sorted(splits, reverse=True):
+        feature, cut = splits[node]
+        low, high = ends.pop(2 * node), ends.pop(2 * node + 1)
+        if "label" in low and "label" in high and low["label"] == high["label"]:  # the cut decides nothing
+            ends[node] = {"label": low["label"], "counts": [a + b for a, b in zip(low["counts"], high["counts"], strict=True)]}
+        else:
+            ends[node] = {"feature": feature, "threshold": cut, "below": low, "above": high}
+    return ends.get(1, {"label": 0, "counts": [0] * len(CLASSES)})
 
 
 def cross_validate(df: DataFrame, label: str, key: Sequence[str], start: ScoreRule, k: int = 5, least_rows: int = 30, seed: int = 0) -> list[tuple[str, int, float]]:
@@ -133,7 +175,7 @@ def cross_validate(df: DataFrame, label: str, key: Sequence[str], start: ScoreRu
     try:
         for i in range(k):
             train, test = dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i)
-            rule, tree = fit_rule(train, label, start, seed=seed + i), fit_tree(train, label)
+            rule, tree = fit_rule(train, label, start), fit_tree(train, label)
             for name, guess in (("refit", density_level(F.col("count"), F.col("coverage"), rule)), ("tree", tree_column(tree))):
                 out.append((name, i, measure(test, label, guess).first()["mean_error"]))
         return out

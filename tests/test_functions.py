@@ -89,6 +89,13 @@ REPLIES = [
     ("[[90, 90, 500, -5]]", "xyxy pixels", [(90, 0, 100, 90)]),
     ("[[1, 2, 3, 4]]", "no order given", None),
     ("[[true, 1, 2, 3]]", "xyxy", None),
+    ('[{"position": {"bbox": {"Box-2D": [[1, 2], [3, 4]]}}}]', "xyxy pixels", None),
+    ('[{"bbox": {"coordinates": {"X min": 1, "Y min": 2, "x_max": 3, "y_max": 4.5}}}]', "", [(1, 2, 3, 4.5)]),
+    ('[{"bounds": [1, 2, 3, 4], "box_2d": [[20, 10], [40, 30]]}]', "yxyx pixels", [(10, 20, 30, 40)]),
+    ('[[1, 2, 3, "4"]]', "xyxy pixels", None),
+    ('[[1, 2, 3], [1, 2, 3, 4]]', "xyxy pixels", None),
+    ('[[1, 2, 3, 4], {"x": 1}]', "xyxy pixels", None),
+    ('{"x": 1}', "xyxy pixels", None),
     ("not json", "xyxy", None),
     ("[]", "xyxy", []),
 ]
@@ -190,12 +197,35 @@ def test_tree_recovers_a_rule(spark):
     assert "if count < 4" in den.tree_text(tree) or "if count < 12" in den.tree_text(tree)
 
 
-def test_refit_is_never_worse(spark):
-    df = labelled(spark, 60)
-    start = den.ScoreRule()
-    rule = fitting.fit_rule(df, "label", start, rounds=2, batch=15)
-    a, b = fitting.losses(df, "label", [fitting.tidy(start), rule])
-    assert b <= a
+def test_tree_equals_a_plain_search(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 9), rng.choice([0.1, 0.2, 0.3, 0.7]), rng.choice([0, 1, 2, 3])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "count long, coverage double, label int")
+
+    def impurity(part):
+        return len(part) * (1 - sum((sum(r[2] == k for r in part) / len(part)) ** 2 for k in range(4)))
+
+    best = min(
+        ((round(impurity([r for r in rows if r[f] < cut]) + impurity([r for r in rows if r[f] >= cut]), 6), f, cut) for f in (0, 1) for cut in sorted({r[f] for r in rows}) if 5 <= sum(r[f] < cut for r in rows) <= 145),
+    )
+    tree = fitting.fit_tree(df, "label", depth=1, least=5, features=("count", "coverage"))
+    assert "label" in tree or (tree["feature"], tree["threshold"]) == (("count", "coverage")[best[1]], best[2])
+    guess = fitting.fit_tree(df, "label", depth=4, least=3, features=("count", "coverage"))
+    sizes = lambda n: sum(n["counts"]) if "label" in n else sizes(n["below"]) + sizes(n["above"])
+    assert sizes(guess) == 150
+
+
+def test_tree_of_nothing(spark):
+    empty = spark.createDataFrame([], "count long, coverage double, typical_size double, spread double, label int")
+    assert fitting.fit_tree(empty, "label") == {"label": 0, "counts": [0, 0, 0, 0]}
+
+
+def test_refit_comes_near_a_planted_rule(spark):
+    df, start = labelled(spark, 60), den.ScoreRule()
+    truth = den.ScoreRule((1, 20), (0.05, 0.5), 0.35, 0.55, 2, 4)
+    made = df.withColumn("label", den.density_level(F.col("count"), F.col("coverage"), truth))
+    a, b = fitting.losses(made, "label", [start, fitting.fit_rule(made, "label", start, steps=12, rounds=1)])
+    assert 2 * b <= a
 
 
 def test_measure(spark):
