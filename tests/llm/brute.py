@@ -72,6 +72,43 @@ def repeated_bytes(docs, length=400):
     return out
 
 
+def passages(docs, size=50):
+    """docs: texts -> [(n_passages, n_passage_words, runs of bytes)] of repeated runs of ``size`` words."""
+    cut = [[(m.start(), m.end(), fold(m.group())) for m in WORD.finditer(t or "")] for t in docs]
+    seen = defaultdict(int)
+    for ws in cut:
+        for i in range(len(ws) - size + 1):
+            seen[tuple(w for *_, w in ws[i : i + size])] += 1
+    out = []
+    for t, ws in zip(docs, cut):
+        gone = [False] * (len(ws) + 1)
+        for i in range(len(ws) - size + 1):
+            if seen[tuple(w for *_, w in ws[i : i + size])] > 1:
+                gone[i : i + size] = [True] * size
+        edges = [i for i in range(len(ws) + 1) if gone[i] != (gone[i - 1] if i else False)]
+        runs = [(len((t or "")[: ws[a][0]].encode()), len((t or "")[: ws[z - 1][1]].encode())) for a, z in zip(edges[::2], edges[1::2])]
+        out.append((len(runs), sum(gone), runs))
+    return out
+
+
+def without_repeated(docs, length=400, size=50):
+    """docs: texts -> the text left of each."""
+    data, out = [(t or "").encode() for t in docs], []
+    seen = defaultdict(int)
+    for d in data:
+        for i in range(len(d) - length + 1):
+            seen[hash(d[i : i + length])] += 1
+    for d, (_, _, runs) in zip(data, passages(docs, size)):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[hash(d[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        for a, z in runs:
+            gone[a:z] = b"\1" * (z - a)
+        out.append(bytes(b for b, g in zip(d, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 def contaminated(docs, items, least=0.75):
     """docs, items: (id, text) -> {(doc, item): best weighted similarity over item-sized windows}"""
     sets = {i: shingles(t) for i, t in items}

@@ -20,8 +20,7 @@ def test_stages_against_brute_force(spark):
     groups = brute.near_duplicates([(i, r.text) for i, r in first.items()])
     assert set(second) == {i for i, (_, c) in groups.items() if c == i}
     third = step(2, None, second)
-    cut = dict(zip(second, brute.repeated_bytes([r.text for r in second.values()])))
-    want = {i: rest.decode("utf-8", "ignore") for i, (_, _, _, rest) in cut.items()}
+    want = dict(zip(second, brute.without_repeated([r.text for r in second.values()])))
     assert {i: r.text for i, r in third.items()} == {i: t for i, t in want.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in third.values())
     fourth = step(3, None, third)
