@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, langid, minhash, mixing, suffix
-from plumbline.llm._store import keep, maybe_broadcast
+from plumbline.llm._store import discard, keep, maybe_broadcast
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that stand more than once; n_chars follows.
+    """Documents without the strings of 400 bytes and the passages of 50 words that stand more than once; n_chars follows.
 
     A document of which nothing but white space is left goes, if it had more before."""
     had = docs.withColumn("_had", F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
@@ -87,7 +87,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
 
 
