@@ -53,9 +53,10 @@ _FAR, _LEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _KEY = ["k", "kk"]
 
 
-def reach(length: int, gram: int) -> int:
-    """First symbols of a window in which its trigger lies."""
-    return max(1, min(96, length // 4, length - gram))
+def reach(length: int, symbol: str) -> int:
+    """First symbols of a window in which its trigger lies.  Few stretches of many words are best, as few
+    of their windows have to be compared one by one; of bytes many do."""
+    return max(1, min(96, length // (2 if symbol == "word" else 4), length - GRAM[symbol]))
 
 
 class Parse:
@@ -68,7 +69,7 @@ class Parse:
         else:
             codes, powers = BYTE_CODE[data], BYTES
         gram = min(GRAM[symbol], length)
-        self.length, self.near, self.offsets = length, reach(length, gram), offsets
+        self.length, self.near, self.offsets = length, reach(length, symbol), offsets
         self.sums, self.down = prefix_sums(codes, powers)
         m = max(0, len(codes) - gram + 1)
         grams = mix((self.sums[gram:] - self.sums[:m]) * self.down[:m])

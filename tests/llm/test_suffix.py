@@ -58,7 +58,7 @@ def test_edges(spark):
     assert remove_repeated(frame(spark, [])).collect() == []
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text("ab", max_size=90), min_size=1, max_size=6), st.integers(17, 40))
 def test_random_texts(spark, texts, length):
     check(spark, texts, length)
