@@ -6,14 +6,17 @@ expectation-maximisation on held-out counts: every training event is judged
 by the counts without itself.  Events with similar frequencies share a cell of a histogram
 of fixed size and count with its means, so all events count and the driver sees only cells.
 
-Counts of the whole corpus: documents are dealt into batches by hash.  A batch names its
-distinct words and bigrams by 64-bit hashes and sends each shard of the hash
-range one packed, sorted array; a shard adds up what all batches sent and returns
+Counts of the whole corpus: documents are put into batches of ``batch_bytes`` of text as they
+are read.  A batch names its distinct words and bigrams by 64-bit hashes and sends each shard of
+the hash range one packed, sorted array; a shard adds up what all batches sent and returns
 each its counts in the same order.  So a frequent word costs a batch one entry,
-and no table of the corpus is ever broadcast.
+and no table of the corpus is ever broadcast.  There are as many shards as batches, so what a
+task holds stays the same at every size.  Arrays get shorter as the corpus grows: with batches of 64 MB
+100 TB still send several names in each, fewer rows than one for every name.
 
 Defined results: null and empty texts are one end token; null ids are training
-rows; repeated rows count as often as they stand; without training rows both
+rows; repeated rows count as often as they stand; a text longer than a batch is a batch of its own;
+an empty table gives an empty table; ties cannot occur; without training rows both
 scores are 0 for every text; extra columns are ignored.
 """
 
@@ -27,13 +30,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import discard, keep, lean_group, map_texts, partitions
+from plumbline.llm._store import discard, keep, lean_group, map_texts
 from plumbline.llm._words import Words, chunks, mix
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _H, _W = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
 BUCKETS, STEP, LEVELS = 40, 1.4, 64
+#: Bytes of text in a batch.
+BATCH = 8 << 20
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -60,28 +65,20 @@ def _joined(batches, size: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _parcel(parts: int):
-    """Rows that go to one batch as one compressed parcel, which halves what is shuffled."""
+def _parcel(size: int):
+    """Rows put together as compressed parcels of about ``size`` bytes of text; a longer text is one alone."""
 
     def run(batches):
-        for batch in _joined(batches, 1 << 25):
-            for row, data, offsets in chunks(batch.column(1), 1 << 25):
-                to = batch.column(3).slice(row, len(offsets) - 1).to_numpy()
-                order = np.argsort(to, kind="stable")
-                text = data.tobytes()
-                edges = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
-                groups = [order[x:y] for x, y in zip(edges, edges[1:], strict=False)]
-                squeeze = zstandard.ZstdCompressor(level=3).compress
-                ids, train = batch.column(0), batch.column(2)
-                take = lambda c, g: c.take(pa.array(g + row))  # noqa: E731, B023
-                nest = lambda c: pa.ListArray.from_arrays(np.cumsum([0, *map(len, groups)]).astype(np.int32), take(c, np.concatenate(groups)))  # noqa: E731, B023
+        for batch in _joined(batches, size):
+            for row, data, offsets in chunks(batch.column(1), size):
+                n = len(offsets) - 1
+                nest = lambda c: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.slice(row, n))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(to[order][edges[:-1]], pa.int32()), nest(ids), nest(train),
-                        pa.array([np.diff(offsets)[g] for g in groups], pa.list_(pa.int64())),
-                        pa.array([squeeze(b"".join(text[offsets[r] : offsets[r + 1]] for r in g)) for g in groups], pa.binary()),
+                        nest(batch.column(0)), nest(batch.column(2)), pa.array([np.diff(offsets)], pa.list_(pa.int64())),
+                        pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()), pa.array([len(data)], pa.int64()),
                     ],
-                    ["batch", "ids", "train", "sizes", "texts"],
+                    ["ids", "train", "sizes", "texts", "bytes"],
                 )
 
     return run
@@ -132,14 +129,19 @@ def _cuts(names: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _send(shards: int):
-    def run(key, table):
-        b = Batch(table)
-        cuts = _cuts(b.names, shards)
-        full = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
-        part = lambda a, k: a[cuts[k] : cuts[k + 1]]
-        names = [pack(np.diff(part(b.names, k), prepend=np.uint64(0))) for k in full]
-        counts = [pack(part(b.own, k)) for k in full]
-        return pa.table({"shard": pa.array(full, pa.int32()), "batch": pa.array([key[0].as_py()] * len(full), pa.int32()), "names": pa.array(names, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    """Of every parcel its distinct names and their counts, one row for each shard that has some."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                b = Batch(pa.Table.from_batches([batch.slice(r, 1)]))
+                cuts = _cuts(b.names, shards)
+                full = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
+                part = lambda a, k: a[cuts[k] : cuts[k + 1]]  # noqa: E731, B023
+                names = [pack(np.diff(part(b.names, k), prepend=np.uint64(0))) for k in full]
+                counts = [pack(part(b.own, k)) for k in full]
+                key = batch.column("batch")[r].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key] * len(full), pa.int64()), pa.array(names, pa.binary()), pa.array(counts, pa.binary())], ["shard", "batch", "names", "counts"])
 
     return run
 
@@ -157,7 +159,7 @@ def _add_up(key, table):
     n = len(batch)
     return pa.table(
         {
-            "batch": pa.array([*batch, -1], pa.int32()),
+            "batch": pa.array([*batch, -1], pa.int64()),
             "shard": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
             "counts": pa.array([*back, b""], pa.binary()),
             "wide": pa.array([wide] * (n + 1)),
@@ -253,17 +255,19 @@ def _free(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score), learning from the rows where ``training`` holds."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score), learning from the rows where ``training`` holds.
+
+    Results do not depend on ``batch_bytes``, which bounds what a task holds."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(training, F.lit(True)).alias("train"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
     kind = dict(rows.dtypes)["id"]
-    rows = map_texts(rows, _parcel(parts), f"batch int, ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary")
-    sent = rows.groupBy("batch").applyInArrow(lean_group(_send(parts)), "shard int, batch int, names binary, counts binary")
-    counts = keep(sent.groupBy("shard").applyInArrow(lean_group(_add_up), "batch int, shard int, counts binary, wide boolean, tokens long, types long"), "counts")
+    parcels = map_texts(rows, _parcel(batch_bytes), f"ids array<{kind}>, train array<boolean>, sizes array<long>, texts binary, bytes long")
+    # written once, so that a parcel holds the same rows in every pass
+    rows = keep(parcels.withColumn("batch", F.monotonically_increasing_id()), "parcels")
+    shards = 1 + int(rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // batch_bytes
+    sent = map_texts(rows, _send(shards), "shard int, batch long, names binary, counts binary")
+    counts = keep(sent.groupBy("shard").applyInArrow(lean_group(_add_up), "batch long, shard int, counts binary, wide boolean, tokens long, types long"), "counts")
     _free(docs)
     total = counts.where("batch = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     back = counts.where("batch >= 0").select("batch", "shard", "counts", "wide")
@@ -273,11 +277,11 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     n, f2, f1 = (cells.column(c).to_numpy() for c in ("n", "f2", "f1"))
     weights = mixture_weights(cells.column("cell").to_numpy(), n, f2 / n, f1 / n)
     out = keep(both(_score(total.n, total.v, weights), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
-    discard(counts)
+    discard(counts, rows)
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows with crc32(id) mod 7 = 2 are never learned from."""
     out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
-    return scores(docs, ~out, id_col, text_col).withColumn("held_out", ~F.col("train")).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(docs, ~out, id_col, text_col, batch_bytes).withColumn("held_out", ~F.col("train")).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

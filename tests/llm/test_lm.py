@@ -56,6 +56,14 @@ def test_against_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # it predicts unseen text better
 
 
+@pytest.mark.parametrize("size", [3_000_000, 2_000])
+def test_number_of_batches(spark, size):
+    """One batch, and over 200, of which long texts are some alone; a third of the rows are equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(None, "one text that stands on many rows")] * 100
+    same(lm_scores(spark.createDataFrame(rows, docs.schema), batch_bytes=size).collect(), rows)
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, train string, score double"
     for docs in ([(1, None), (2, ""), (None, "a B a"), (7, "a b A c"), (7, "a b A c"), (9, "x " * 3000)], [(i, "w") for i in range(20)]):
