@@ -15,7 +15,8 @@ A task returns each vector's number of links and a spanning set of edges, never
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and are kept; equal vectors of a label are one
 vertex and count as links of each other; rows with a null id come back with a null component;
-rows that share an id are one vertex of the components; extra columns are ignored.
+rows that share an id are one vertex of the components; a tie of ids goes to the smallest; an empty
+table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._graph import components
-from plumbline.llm._store import discard, keep
+from plumbline.llm._store import discard, keep, partitions
 
 SHARD = 8192
 DEGREE, BEAM, MAX_BEAM, AUDIT, RECALL = 12, 48, 384, 48, 0.995
@@ -268,9 +269,14 @@ def _index(key, table):
 
 
 def _search(least: float):
-    def run(table):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from search(batch.slice(k, 1)).to_batches()
+
+    def search(row):
         out = []
-        for r in table.to_pylist():
+        for r in row.to_pylist():
             ids, copies, raw = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             layers = []
@@ -312,6 +318,7 @@ def _search(least: float):
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, shard: int = SHARD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``."""
+    spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("vec"))
     sound = F.expr("label is not null and vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
@@ -321,14 +328,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = rows.where("sound").groupBy("cls").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("id").alias("low"), F.count("*").alias("copies"))
     # classes without an id still count as links; they get names below all ids
     reps = keep(reps.select("cls", "label", "vec", "copies", "low", F.coalesce("low", -1 - F.abs(F.xxhash64("cls") % (1 << 62))).alias("v"), F.size("vec").alias("dim")), "reps")
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    sizes = keep(reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "sizes")
     dealt = reps.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int"))
     index = keep(dealt.select("label", "dim", "shard", "v", "copies", "vec").groupBy("label", "dim", "shard").applyInArrow(_index, _SHARD), "index")
+    # a shard against itself needs no other vectors; the other pairs are dealt by the label and the other
+    # shard, so that a label's shards are spread however many rows it has
+    none = F.lit(None).cast("binary")
+    own = index.select("*", F.col("shard").alias("other"), *[none.alias(f"other_{c}") for c in ("ids", "copies", "vectors")])
+    several = index.join(sizes, ["label", "dim"]).where("shards > 1 and shard < shards - 1")
     ask = index.select("label", "dim", F.col("shard").alias("other"), F.col("ids").alias("other_ids"), F.col("copies").alias("other_copies"), F.col("vectors").alias("other_vectors"))
-    pairs = index.join(ask, ["label", "dim"]).where("shard <= other")
-    for c in ("other_ids", "other_copies", "other_vectors"):  # a shard against itself has them already
-        pairs = pairs.withColumn(c, F.when(F.col("shard") < F.col("other"), F.col(c)))
-    found = keep(pairs.groupBy("label", "dim", "shard", "other").applyInArrow(_search(least), "v long, links long, w long"), "found")
+    across = several.withColumn("other", F.explode(F.expr("sequence(shard + 1, shards - 1)"))).drop("shards").join(ask, ["label", "dim", "other"])
+    schema = "v long, links long, w long"
+    # a row is all that a search needs: dealt by shard, not grouped again
+    alone = own.repartition(partitions(spark), "label", "dim", "shard").mapInArrow(_search(least), schema)
+    found = keep(alone.unionByName(across.mapInArrow(_search(least), schema)), "found")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     same = rows.where("sound and id is not null").join(reps.select("cls", "v"), "cls").where("id <> v").select(F.col("id").alias("a"), F.col("v").alias("b"))
     edges = found.where("v <> w").select(F.col("v").alias("a"), F.col("w").alias("b")).union(same)
