@@ -31,6 +31,8 @@ def root(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="plumbline-"))
         atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
@@ -69,13 +71,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """A join on a key that may hold a third of the left rows: they are dealt by the key and a hash of
     ``by`` too, and the right side, one row per key, stands once for each salt.  It is never broadcast:
     written out its copies look smaller than they are."""
     a = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("shuffle_merge")
-    return a.join(b, [on, "_salt"], how).drop("_salt")
+    return a.join(b, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def release() -> None:

@@ -196,7 +196,9 @@ def repeats(keyed: DataFrame, copies: DataFrame, length: int, symbol: str = "byt
     windows = keep(map_texts(few.join(ask, _KEY).select(*_KEY, "_t", "every", "alone"), _windows(length, symbol), "g long, h long, k long, kk long, at int, alone boolean"), "windows")
     twice = windows.groupBy("g", "h").agg(F.count("*").alias("c"), F.max("alone").alias("alone")).where("c > 1 and alone").select("g", "h")
     torn_spans = windows.where("alone").join(twice, ["g", "h"]).select(*_KEY, "at", F.lit(1).alias("m"))
-    whole_spans = shared.where("same").select(*_KEY, "at", "m").unionByName(shared.where("not same").join(wholes.where("c > 1").select("g", "f"), ["g", "f"]).select(*_KEY, "at", "m"))
+    # a class may hold a third of the stretches: dealt by their texts too
+    several = wholes.where("c > 1").select("g", "f")
+    whole_spans = shared.where("same").select(*_KEY, "at", "m").unionByName(salted_join(shared.where("not same"), several, ["g", "f"], "k", salts=4).select(*_KEY, "at", "m"))
     alone = whole_spans.join(maybe_broadcast(copies.select(*_KEY)), _KEY, "left_anti").unionByName(torn_spans)
     spans = keep(alone.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "m")).alias("runs")).select(*_KEY, F.col("runs.at").alias("at"), F.col("runs.m").alias("m")), "spans")
     discard(cores, shared, wholes, ask, who, windows)
