@@ -13,7 +13,8 @@ from plumbline.operators import build, fitting, generate, joins, reshape, select
 from plumbline.operators import statistics as stat
 from plumbline.plans.registry import query
 from plumbline.plans.relational import LATEST, latest, r
-from plumbline.sources import logs, sinks, tables
+from plumbline.sources import annotations, logs, sinks, tables
+from plumbline.store import written_text
 from plumbline.streaming.log import completion_rate
 
 # -- sources
@@ -21,9 +22,12 @@ from plumbline.streaming.log import completion_rate
 
 @query("src_02_nested_scan", "SELECT image_id, species, role, x, h FROM annotations")
 def _(v):
-    """One nested document per dataset, taken apart again."""
-    docs = v.annotations.groupBy("dataset").agg(F.collect_list(F.struct("image_id", "species", "role", "x", "y", "w", "h")).alias("annotations"))
-    return docs.select("dataset", F.explode("annotations").alias("a")).select("a.image_id", "a.species", "a.role", "a.x", "a.h")
+    """Nested JSON documents of bounded size, one per image, written as files, scanned and taken apart."""
+    box = F.struct(F.col("image_id"), F.col("ord").cast("long").alias("id"), F.xxhash64("role", "species").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"))
+    name = F.struct(F.xxhash64("role", "species").alias("id"), F.concat("role", F.lit(": "), "species").alias("name"))
+    docs = v.annotations.groupBy("image_id").agg(F.collect_list(box).alias("annotations"), F.collect_set(name).alias("categories"))
+    found = annotations.read_lines(written_text(docs.select(F.to_json(F.struct("annotations", "categories", F.array(F.struct(F.col("image_id").alias("id"))).alias("images"))).alias("value"))))
+    return annotations.annotations(found).select("image_id", "species", "role", "x", "h")
 
 
 @query("src_03_resolved_paths", "SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'f1/' ELSE 'f2/' END || file_name AS path FROM images")
@@ -75,7 +79,7 @@ def _(v):
 
 @query("src_10_judgement_replay", "SELECT user_id AS response_id, event_type AS kind, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY ALL")
 def _(v):
-    at = windows.position_within(v.events, [], ["ts", "event_id"], "_line")
+    at = reshape.with_row_index(v.events, ["ts", "event_id"], "_line")
     text = at.select(F.lit("log").alias("_file"), "_line", F.to_json(F.struct(F.col("user_id").alias("response_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"))).alias("_text"))
     return logs.replay(logs.parse_lines(text, "response_id long, kind string, id long"), ["response_id", "kind"]).select("response_id", "kind", "id")
 
@@ -95,9 +99,9 @@ def _(v):
     return reshape.keep_present(v.responses, ["id", "model", "not_there"])
 
 
-@query("src_14_sorted_scan", "SELECT question_id, task FROM questions ORDER BY task, question_id LIMIT 30")
+@query("src_14_sorted_scan", "SELECT question_id, task, row_number() OVER (ORDER BY task, question_id) - 1 AS position FROM questions")
 def _(v):
-    return v.questions.orderBy("task", "question_id").select("question_id", "task").limit(30)
+    return reshape.with_row_index(v.questions.select("question_id", "task"), ["task", "question_id"], "position")
 
 
 @query("src_15_score_index", "SELECT run, model, question_id, max(id) AS id FROM scored GROUP BY ALL")
@@ -113,8 +117,11 @@ def _(v):
 
 @query("src_21_key_values", "SELECT doc_id::VARCHAR AS key, quality::BIGINT AS quality FROM labels")
 def _(v):
-    document = v.labels.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.struct("quality"))))).alias("value"))
-    return document.select(F.explode(F.from_json("value", "map<string, struct<quality: int>>")).alias("key", "v")).select("key", "v.quality")
+    """JSON stores of some 500 keys each, written as files and read back."""
+    stores = F.lit(1 + v.labels.count() // 500)
+    entry = F.struct(F.col("doc_id").cast("string"), F.struct("quality"))
+    documents = v.labels.groupBy(F.pmod(F.xxhash64("doc_id"), stores)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return written_text(documents.select("value")).select(F.explode(F.from_json("value", "map<string, struct<quality: int>>")).alias("key", "v")).select("key", "v.quality")
 
 
 @query("src_22_weed_features", f"SELECT image_id, count(*) AS n, {r('median(w * h)', 'typical')} FROM annotations WHERE role = 'weed' AND width * height > 0 GROUP BY image_id")
@@ -143,9 +150,9 @@ def _(v):
     return sinks.question_rows(q).select("question_id", "expected_answer")
 
 
-@query("snk_05_consolidated", f"SELECT l.question_id, l.model, CASE WHEN l.id % 2 = 0 THEN l.id ELSE l.id + 1000000 END AS id FROM {LATEST} l WHERE l.question_id < 50")
+@query("snk_05_consolidated", f"SELECT l.question_id, l.model, CASE WHEN l.id % 2 = 0 THEN l.id ELSE l.id + 1000000 END AS id FROM {LATEST} l")
 def _(v):
-    order = v.questions.where("question_id < 50").select("question_id").withColumn("model", F.explode(F.array(*[F.lit(f"m{k}") for k in range(5)]))).withColumn("ord", F.col("question_id") * 10 + F.substring("model", 2, 1).cast("int"))
+    order = v.questions.select("question_id").withColumn("model", F.explode(F.array(*[F.lit(f"m{k}") for k in range(5)]))).withColumn("ord", F.col("question_id") * 10 + F.substring("model", 2, 1).cast("int"))
     last = latest(v).select("question_id", "model", (F.col("id") + 1000000).alias("id"))
     return logs.consolidate(last, order, latest(v).where("id % 2 = 0").select("question_id", "model", "id"))
 

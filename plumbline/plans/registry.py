@@ -30,7 +30,8 @@ def oracle_text(sql: str) -> str:
     """``sql`` with the views it may name put before it."""
     sql = counted(sql.strip())
     views = ", ".join(f"{name} AS ({text.format_map(_Plain())})" for name, text in VIEWS.items())
-    return f"WITH {views}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {views} {sql}"
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if sql.upper().startswith(h)), None)
+    return f"{head}{views}, {sql[len(head) :]}" if head else f"WITH {views} {sql}"
 
 
 class _Plain(dict):

@@ -12,7 +12,8 @@ from plumbline.operators import checks, fitting, generate, scoring, selection, s
 from plumbline.operators import classify as cas
 from plumbline.plans.registry import query
 from plumbline.plans.relational import FLAGGED, LATEST, MODELS, flagged, latest, r, wilson_sql
-from plumbline.plans.scalars import CELL_AREA, COUNTED, PAIR_RULE, PAIRS, SCORE
+from plumbline.operators.reshape import with_row_index
+from plumbline.plans.scalars import CELL_AREA, COUNTED, PAIR_RULE, PAIRS, SCORE, TRUTH_BOXES, greedy_sql
 
 FLAGS = ["perception", "knowledge", "evaluation", "unsure"]
 
@@ -226,10 +227,10 @@ def _(v):
     return q.select("p_partkey", F.array_join("choices", ",").alias("choices"), "answer_index")
 
 
-@query("sel_14_sorted_worst_first", "SELECT question_id, n FROM (SELECT question_id, min(n) AS n FROM (SELECT question_id, model, count_if(correct) AS n FROM scored GROUP BY ALL) GROUP BY question_id) ORDER BY n, question_id LIMIT 25")
+@query("sel_14_sorted_worst_first", "SELECT question_id, n, row_number() OVER (ORDER BY n, question_id) - 1 AS position FROM (SELECT question_id, min(n) AS n FROM (SELECT question_id, model, count_if(correct) AS n FROM scored GROUP BY ALL) GROUP BY question_id)")
 def _(v):
     per = v.scored.groupBy("question_id", "model").agg(F.count_if(F.col("correct")).alias("n"))
-    return per.groupBy("question_id").agg(F.min("n").alias("n")).orderBy("n", "question_id").limit(25)
+    return with_row_index(per.groupBy("question_id").agg(F.min("n").alias("n")), ["n", "question_id"], "position")
 
 
 @query("sel_15_example_per_group", "SELECT task, question_id FROM questions QUALIFY row_number() OVER (PARTITION BY task ORDER BY question_id) = 3")
@@ -242,15 +243,15 @@ def _(v):
     return selection.folds(v.questions, ["question_id"], 5, seed=3).select("question_id", "fold")
 
 
-@query("sel_17_question_major", "SELECT question_id, model FROM (SELECT DISTINCT question_id FROM questions) CROSS JOIN (SELECT DISTINCT model FROM responses) ORDER BY question_id, model LIMIT 100")
+@query("sel_17_question_major", "SELECT question_id, model, row_number() OVER (ORDER BY question_id, model) - 1 AS position FROM (SELECT DISTINCT question_id FROM questions) CROSS JOIN (SELECT DISTINCT model FROM responses)")
 def _(v):
     jobs = v.questions.select("question_id").withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    return jobs.orderBy("question_id", "model").limit(100)
+    return with_row_index(jobs, ["question_id", "model"], "position")
 
 
-@query("sel_18_shuffled_head", "SELECT question_id FROM questions ORDER BY md5('18:' || question_id), question_id LIMIT 40")
+@query("sel_18_shuffled_head", "SELECT question_id, row_number() OVER (ORDER BY md5('18:' || question_id), question_id) - 1 AS position FROM questions")
 def _(v):
-    return selection.shuffled(v.questions, ["question_id"], 18).limit(40).select("question_id")
+    return with_row_index(v.questions.select("question_id"), [draw_key(18, F.col("question_id")), "question_id"], "position")
 
 
 # -- generators, scoring and checks
@@ -317,7 +318,10 @@ def _(v):
     return v.scored.select("id", scoring.task_match(F.col("answer"), F.col("expected_answer"), F.col("question_type")).alias("match"))
 
 
-@query("sco_03_localisation")
+REPLIED_BOXES = "SELECT image_id, j, least(greatest(least(a, c), 0.0), width) AS x1, least(greatest(least(b, d), 0.0), height) AS y1, least(greatest(greatest(a, c), 0.0), width) AS x2, least(greatest(greatest(b, d), 0.0), height) AS y2 FROM (SELECT image_id, ord - 1 AS j, width::DOUBLE AS width, height::DOUBLE AS height, x * 1000 / width * (width / 1000.0::DOUBLE) AS a, y * 1000 / 600 * (height / 1000.0::DOUBLE) AS b, (x + w) * 1000 / width * (width / 1000.0::DOUBLE) AS c, (y + h) * 1000 / 600 * (height / 1000.0::DOUBLE) AS d FROM annotations WHERE height > 0)"
+
+
+@query("sco_03_localisation", greedy_sql(TRUTH_BOXES, REPLIED_BOXES, ""))
 def _(v):
     """Each image's boxes answered in JSON on the 0-1000 scale, read back and scored."""
     reply = F.to_json(F.transform("boxes", lambda b: F.array(b["y"] * 1000 / 600, b["x"] * 1000 / F.col("width"), (b["y"] + b["h"]) * 1000 / 600, (b["x"] + b["w"]) * 1000 / F.col("width"))))

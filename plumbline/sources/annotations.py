@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import required_species
 from plumbline.operators.checks import require_none
 from plumbline.schemas import ANNOTATION_DOCUMENT
+from plumbline.store import written
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -18,6 +19,12 @@ def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return raw.withColumn("dataset", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def read_lines(lines: DataFrame) -> DataFrame:
+    """Documents that stand on one line each (``value``), named by their place in the table."""
+    parsed = lines.select(F.from_json("value", ANNOTATION_DOCUMENT).alias("d"), F.monotonically_increasing_id().cast("string").alias("dataset"))
+    return written(parsed.where("d is not null").select("d.*", "dataset"))
+
+
 def images(documents: DataFrame) -> DataFrame:
     return documents.select("dataset", F.explode("images").alias("i")).select("dataset", F.col("i.id").alias("image_id"), "i.width", "i.height", "i.file_name")
 

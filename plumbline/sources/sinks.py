@@ -27,7 +27,9 @@ def _swap(df: DataFrame, new: str, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Parquet at ``path``, whole or not at all, even if ``df`` reads from there."""
+    """Parquet at ``path``, even if ``df`` reads from there: written aside, then swapped in by two renames.
+
+    Between them ``path`` does not exist for a moment; what stood there is deleted last."""
     new = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(new)
     _swap(df, new, path)

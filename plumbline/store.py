@@ -17,6 +17,8 @@ def shared_folder(df: DataFrame) -> str:
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="plumbline-"))
         atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
@@ -28,3 +30,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df)}/plumbline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_text(lines: DataFrame) -> DataFrame:
+    """``lines`` (value) as text files, read back."""
+    path = f"{shared_folder(lines)}/plumbline/{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return lines.sparkSession.read.text(path)

@@ -46,11 +46,12 @@ def breaker(stream: DataFrame, key: str, failed: str, threshold: int) -> DataFra
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, tripped = state.get if state.exists else (0, False)
         fresh = False
-        for part in parts:
-            for bad in part.sort_values("seq")[failed]:
-                streak = streak + 1 if bad else 0
-                if threshold and streak >= threshold and not tripped:
-                    tripped = fresh = True
+        # a key's rows of a micro-batch may come in several parts, in no order
+        rows = pd.concat([p[["seq", failed]] for p in parts]).sort_values("seq", kind="stable")
+        for bad in rows[failed]:
+            streak = streak + 1 if bad else 0
+            if threshold and streak >= threshold and not tripped:
+                tripped = fresh = True
         state.update((int(streak), tripped))
         if fresh:
             yield pd.DataFrame([{key: k[0], "tripped": True, "streak": threshold}])
@@ -64,14 +65,18 @@ def completion_rate(stream: DataFrame, ts: str, keys: Sequence[str] = (), window
 
 
 def snapshots(stream: DataFrame, write: Callable[[dict], None], every: str, checkpoint: str) -> StreamingQuery:
-    """Calls ``write`` with the totals of what arrived, every so often."""
-    total = {"done": 0, "failed": 0}
+    """Calls ``write`` with the totals of what arrived, every so often.
+
+    Each micro-batch's totals stay beside the checkpoint, so that a restarted query goes on
+    from there, and a batch that is done again counts once."""
+    folder, schema = f"{checkpoint}-totals", "done long, failed long, epoch long"
 
     def add(batch: DataFrame, epoch: int) -> None:
-        row = batch.agg(F.count("*").alias("done"), F.count_if(F.col("status") != "ok").alias("failed")).first()
-        total["done"] += row.done
-        total["failed"] += row.failed
-        write(dict(total))
+        spark = batch.sparkSession
+        counted = batch.agg(F.count("*").alias("done"), F.count_if(F.col("status") != "ok").alias("failed"))
+        counted.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        row = spark.read.schema(schema).parquet(folder).where(F.col("epoch") <= epoch).agg(F.sum("done").alias("done"), F.sum("failed").alias("failed")).first()
+        write(row.asDict())
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 

@@ -131,6 +131,35 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in spark.table("rate").collect()) == 12
 
 
+def test_streaks_over_several_parts(spark, tmp_path):
+    """A key's micro-batch in Arrow batches of two rows, written out of order."""
+    rows = [("m", n, n % 7 != 0) for n in range(1, 40)]
+    spark.createDataFrame(rows[::-1], "model string, seq int, bad boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        for threshold, want in ((6, [("m", True, 6)]), (7, [])):
+            source = spark.readStream.schema("model string, seq int, bad boolean").parquet(str(tmp_path / "in"))
+            q = stream.breaker(source, "model", "bad", threshold).writeStream.format("memory").queryName(f"parts{threshold}").option("checkpointLocation", str(tmp_path / f"parts{threshold}")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert [tuple(r) for r in spark.table(f"parts{threshold}").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_snapshots_go_on_after_a_restart(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seen = []
+    for k in range(2):
+        (folder / f"{k}.jsonl").write_text("\n".join(json.dumps({"status": s}) for s in ("ok", "failed", "ok")))
+        source = stream.read_stream(spark, str(folder), "status string")
+        q = stream.snapshots(source, seen.append, "1 second", str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+    assert seen[0] == {"done": 3, "failed": 1} and seen[-1] == {"done": 6, "failed": 2}
+
+
 def test_retry_budgets(spark):
     df = spark.createDataFrame([(1, ["transient", "ok"]), (2, ["parse", "parse", "ok"]), (3, ["truncated", "ok"]), (4, ["transient"]), (5, ["transient"] * 4)], "id int, outcomes array<string>")
     got = {r.id: (r.state, r.used) for r in stream.replay_attempts(df, ["id"], 3, 1).collect()}
