@@ -20,7 +20,9 @@ shingles in it, so that results do not depend on the number of blocks.
 Defined results: null and empty texts match nothing, on either side; items and
 documents with fewer than five words have one shingle, of all words; a document
 shorter than an item is one window; repeated rows match alike; null ids are
-reported as null; extra columns are ignored.
+reported as null; equal windows of a text are reported by the first; a text of any length is one
+task's work, its windows looked up CELLS at a time; an empty table on either side gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BYTES = 8
 UNITS = 1 << 28
 #: Words of a shingle; bits of a shingle by which texts are asked for shared ones.
 SIZE, MET = 5, 22
+#: Windows times items that are looked up at once.
+CELLS = 1 << 22
 _BIT = np.arange(64, dtype=np.uint64)
 
 
@@ -49,7 +53,7 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Names of all runs of ``size`` word hashes, as Words.shingles gives them."""
     sums, down = prefix_sums(hashes, SEQ_A)
     n = max(0, len(hashes) - size + 1)
-    return mix((sums[size : size + n] - sums[:n]) * down[:n] + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15))
+    return mix((sums[size : size + n] - sums[:n]) * down[:n] + np.array([size], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def signed(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -92,6 +96,21 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def _near(windows: np.ndarray, prints: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item, bits apart) within RADIUS; as many windows at a time as CELLS allows."""
+    step, out = max(1, CELLS // len(prints)), []
+    for lo in range(0, len(windows), step):
+        some = windows[lo : lo + step]
+        candidate = index[0][some[:, 0]]
+        for b in range(1, BYTES):
+            candidate |= index[b][some[:, b]]
+        w, i = np.nonzero(candidate)
+        apart = _NEAR[some[w], prints[i]].sum(axis=1)
+        close = apart <= RADIUS
+        out.append((w[close] + lo, i[close], apart[close]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 _NEAR = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], np.uint8)
 
 
@@ -174,12 +193,7 @@ class Items:
             before = repeats(local)
             more = surplus(local, weigh, before, m)
             print_ = fingerprint(sums[at + m] - sums[at] - (0 if more is None else more[at]))
-            candidate = index[0][print_[:, 0]]
-            for b in range(1, BYTES):
-                candidate = candidate | index[b][print_[:, b]]
-            w, i = np.nonzero(candidate)
-            apart = _NEAR[print_[w], prints[i]].sum(axis=1)
-            w, i, apart = (x[apart <= RADIUS] for x in (w, i, apart))
+            w, i, apart = _near(print_, prints, index)
             if not len(w):
                 continue
             total = np.concatenate([[0.0], np.cumsum(weigh)])
@@ -306,5 +320,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             order = np.argsort(names)
             mine = names[order], count[order]
         found = map_texts(rows, _scan(Items(got.column("i").to_pylist(), got.column("t").to_pylist(), SIZE, mine), least), schema)
+        if blocks > 1:  # a block's items are held only while it is worked on
+            found = keep(found, "found")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
