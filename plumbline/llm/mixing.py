@@ -15,7 +15,8 @@ Skew: a source is ordered in 4096 hash buckets, whose sums (at most 4096 for a
 source) are added up apart, so no task holds a whole source.
 
 Defined results: a null text has size 0 and takes nothing; null sources are one
-source; null ids are ordinary rows; repeated rows are laid out one by one; an
+source; null ids are ordinary rows, dealt by their texts; repeated rows are laid out one by one, equal
+keys by id and size; a text of any length is counted whole; an
 empty table gives an empty mix; extra columns are ignored.
 """
 
@@ -50,9 +51,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
 
 def place(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sized`` with sid and ``start``, the words of its source before it in hashed order."""
-    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    rows = sized.withColumn("key", key).join(maybe_broadcast(sources.select("sid", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    """``sized`` with sid and ``start``, the words of its source before it in the order of ``key``."""
+    rows = sized.join(maybe_broadcast(sources.select("sid", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("bucket", F.substring("key", 1, 3))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +97,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mix: position, sid, rank, id, start, skip, words: at that position of the mix come
     ``words`` words of the document, after its first ``skip``."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sized")
+    text = F.col(text_col).cast("string")
+    # the text is in the key too, so that rows that share an id, or have none, are spread
+    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))))
+    sized = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key")), "sized")
     sources = keep(targets(sized, weights, cap), "sources")
     placed = keep(place(sized, sources), "placed")
     plan = maybe_broadcast(sources.select("sid", "source_size", "quota", "source", "target"))
@@ -120,9 +123,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS key FROM documents
 ), p AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS w,
