@@ -10,7 +10,8 @@ where that costs less than ``penalty`` * log(grams) / 2.
 Defined results: texts that are null or without letters are ``und`` with score
 0 and no languages; rows with a null language or id are predicted but never
 learned from; without training rows all is ``und``; repeated rows get equal
-results; extra columns are ignored.
+results; of equal shares the first language by name is taken; a text of any length is read whole; an
+empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ afterwards are paired, where the shingles that others have too are enough for a
 
 Defined results: null or blank texts have no shingles and link with nothing;
 rows with a null id come back with a null component and are kept; repeated
-rows share their id's component; an empty table gives an empty table; extra
+rows share their id's component; a tie of centres goes to the smallest id; a text of any length is
+read whole, as a chunk of its own; an empty table gives an empty table; extra
 columns are ignored.
 """
 

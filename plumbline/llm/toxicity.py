@@ -13,7 +13,9 @@ Every text is scored whole.
 
 Defined results: null and empty texts have all features 0 and a score; rows
 with several labels count as toxic if any is; without both labels every score
-is the share of toxic rows; null ids are scored and are never training rows.
+is the share of toxic rows; null ids are scored and are never training rows; repeated rows get equal scores, and
+of equal training texts one counts; a text of any length is read whole; equal raw scores get
+one calibrated score; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
