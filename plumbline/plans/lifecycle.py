@@ -13,6 +13,7 @@ from plumbline.operators import build, fitting, generate, joins, reshape, select
 from plumbline.operators import statistics as stat
 from plumbline.plans.registry import query
 from plumbline.plans.relational import LATEST, latest, r
+from plumbline.plans.scalars import MOVED_BOXES, TRUTH_BOXES, greedy_ctes
 from plumbline.sources import annotations, logs, sinks, tables
 from plumbline.store import written_text
 from plumbline.streaming.log import completion_rate
@@ -191,11 +192,11 @@ def _(v):
     return v.boxes.select("image_id", (F.size("boxes") * F.size("boxes")).alias("n"), F.size(geo.iou_pairs(c, c)).alias("overlapping"))
 
 
-@query("geo_08_greedy_matching", f"SELECT image_id, count(*) AS n, {r('count(*)::DOUBLE', 'total')} FROM annotations GROUP BY image_id")
+@query("geo_08_greedy_matching", f"{greedy_ctes(TRUTH_BOXES, MOVED_BOXES.replace('WHERE ord <= 4', ''))} SELECT image_id, n, {r('total', 'total')} FROM e")
 def _(v):
-    """A set of boxes matched with itself pairs every box with an equal one."""
-    c = geo.all_corners(F.col("boxes"))
-    got = geo.match_boxes(c, c)
+    """A set of boxes matched with itself moved by some pixels, so that boxes compete."""
+    moved = F.transform("boxes", lambda b, i: F.struct((b["x"] + i * 7 % 11).alias("x"), (b["y"] + 3).alias("y"), b["w"].alias("w"), b["h"].alias("h")))
+    got = geo.match_boxes(geo.all_corners(F.col("boxes")), geo.all_corners(moved))
     return v.boxes.select("image_id", F.size(got).alias("n"), F.aggregate(got, F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
@@ -346,7 +347,13 @@ def _(v):
 
 @query("udf_03_custom_aggregate", f"SELECT model, {r('max(latency) - min(latency)', 'span')} FROM responses GROUP BY model")
 def _(v):
-    return v.responses.groupBy("model").agg((F.max("latency") - F.min("latency")).alias("span"))
+    """A Python function of a group's values; a group is one pandas series in its task."""
+
+    @F.pandas_udf("double")
+    def span(values: pd.Series) -> float:
+        return float(values.max() - values.min())
+
+    return v.responses.groupBy("model").agg(span("latency").alias("span"))
 
 
 @query("udf_04_any_statistic", f"SELECT model, count(*) AS n, {r('max(latency) - min(latency)', 'estimate')} FROM responses GROUP BY model")

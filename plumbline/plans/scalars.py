@@ -359,8 +359,9 @@ def _(v):
     return p.select("image_id", F.col("ord_a").alias("oa"), F.col("ord_b").alias("ob"), geo.iou(box("a"), box("b")).alias("iou"))
 
 
-def greedy_sql(truth: str, found: str, columns: str) -> str:
-    """Greedy matching of corner boxes (image_id, i, x1 .. y2) and (image_id, j, ...): pairs are taken by rank, one a round."""
+def greedy_ctes(truth: str, found: str) -> str:
+    """Greedy matching of corner boxes (image_id, i, x1 .. y2) and (image_id, j, ...): pairs are taken by rank, one
+    a round.  e has each image's number of pairs and their summed overlap."""
     side = "(t.x2 - t.x1) * (t.y2 - t.y1) + (f.x2 - f.x1) * (f.y2 - f.y1)"
     return f"""WITH RECURSIVE t AS MATERIALIZED ({truth}), f AS MATERIALIZED ({found}), p AS MATERIALIZED (
       SELECT image_id, i, j, iou, row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, i DESC, j DESC) AS k
@@ -371,7 +372,12 @@ def greedy_sql(truth: str, found: str, columns: str) -> str:
       UNION ALL
       SELECT image_id, k, CASE WHEN free THEN list_append(ti, i) ELSE ti END, CASE WHEN free THEN list_append(fj, j) ELSE fj END, CASE WHEN free THEN total + iou ELSE total END, CASE WHEN free THEN n + 1 ELSE n END
       FROM (SELECT p.image_id, p.k, p.i, p.j, p.iou, s.ti, s.fj, s.total, s.n, NOT list_contains(s.ti, p.i) AND NOT list_contains(s.fj, p.j) AS free FROM s JOIN p ON p.image_id = s.image_id AND p.k = s.k + 1)
-    ), e AS (SELECT image_id, max_by(total, k) AS total, max_by(n, k) AS n FROM s GROUP BY image_id),
+    ), e AS (SELECT image_id, max_by(total, k) AS total, max_by(n, k) AS n FROM s GROUP BY image_id)"""
+
+
+def greedy_sql(truth: str, found: str, columns: str) -> str:
+    """The scores of a greedy matching."""
+    return f"""{greedy_ctes(truth, found)},
     c AS (SELECT image_id, count(*) AS true_box_count FROM t GROUP BY image_id), d AS (SELECT image_id, count(*) AS pred_box_count FROM f GROUP BY image_id)
     SELECT image_id, true_box_count, pred_box_count, {columns}{r('total / nullif(n, 0)', 'matched_iou')}, {r('total / greatest(true_box_count, pred_box_count)', 'localisation_score')}
     FROM c JOIN d USING (image_id) JOIN e USING (image_id)"""
