@@ -54,6 +54,24 @@ def _(v):
     return statistics.bootstrap_mean(rows, ["model"], "c", ["id"], n_boot=100)
 
 
+ESTIMATES = f"SELECT model, count(*) AS n, {r('avg(correct::INT)', 'estimate')}, true AS inside FROM scored WHERE status = 'ok' GROUP BY model"
+
+
+@query("stat_03_cluster_estimates", ESTIMATES)
+def _(v):
+    """Estimates of the cluster bootstrap, which its interval must hold."""
+    rows = v.scored.where("status = 'ok'").select("model", "question_id", "id", F.col("correct").cast("double").alias("c"))
+    got = statistics.bootstrap_by(rows, ["model"], _mean_c, ["id"], "question_id", n_boot=100)
+    return got.select("model", "n", "estimate", F.col("estimate").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
+@query("stat_04_mean_estimates", ESTIMATES)
+def _(v):
+    rows = v.scored.where("status = 'ok'").withColumn("c", F.col("correct").cast("double"))
+    got = statistics.bootstrap_mean(rows, ["model"], "c", ["id"], n_boot=100)
+    return got.select("model", "n", "estimate", F.col("estimate").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
 FIRST = "(SELECT question_id, min_by(correct::INT, id) FILTER (model = 'm0' AND correct IS NOT NULL) AS a, min_by(correct::INT, id) FILTER (model = 'm1' AND correct IS NOT NULL) AS b FROM scored GROUP BY question_id)"
 
 
