@@ -16,7 +16,7 @@ from plumbline.plans.relational import LATEST, latest, r
 from plumbline.plans.scalars import MOVED_BOXES, TRUTH_BOXES, greedy_ctes
 from plumbline.sources import annotations, logs, sinks, tables
 from plumbline.store import written_text
-from plumbline.streaming.log import completion_rate
+from plumbline.streaming.log import changed_files, completion_rate
 
 # -- sources
 
@@ -176,6 +176,28 @@ def _(v):
     return joins.attach_one(old.drop("judge1_interpretation"), fresh, ["id"])
 
 
+DASHES = """(WITH b AS (SELECT image_id, x, y + 2 * greatest(14, round_even(height / 40.0, 0)) AS y, w, h, greatest(2, round_even(greatest(width, height) / 400.0, 0)) AS line FROM annotations WHERE height > 0),
+s AS (SELECT image_id, line, x AS ax, y AS ay, 1 AS dx, 0 AS dy, w AS size FROM b UNION ALL SELECT image_id, line, x + w, y, 0, 1, h FROM b
+ UNION ALL SELECT image_id, line, x + w, y + h, -1, 0, w FROM b UNION ALL SELECT image_id, line, x, y + h, 0, -1, h FROM b),
+d AS (SELECT *, unnest(range(CAST(ceil(size / (8 * line)) AS BIGINT))) * 8 * line AS start FROM s)
+SELECT image_id, ax + dx * start AS x1, ay + dy * start AS y1, ax + dx * least(start + 5 * line, size) AS x2, ay + dy * least(start + 5 * line, size) AS y2 FROM d)"""
+
+
+@query("snk_11_judge_overlay", f"SELECT image_id, count(*) AS n, {r('sum(x1)', 'x1')}, {r('sum(y1)', 'y1')}, {r('sum(x2)', 'x2')}, {r('sum(y2)', 'y2')} FROM {DASHES} GROUP BY image_id")
+def _(v):
+    """The dashes of each image's boxes, counted and their ends added up."""
+    plan = generate.overlay_plan(v.boxes.where("height > 0").withColumn("c", geo.all_corners(F.col("boxes"))), "c", "c")
+    total = lambda c: F.aggregate(f"dashes.{c}", F.lit(0.0), lambda a, x: a + x).alias(c)
+    return plan.select("image_id", F.size("dashes").alias("n"), *[total(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("stm_10_changed_files", "SELECT file_name AS path, CASE WHEN image_id % 3 = 0 THEN 'added' WHEN image_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM images WHERE image_id % 3 = 0 OR image_id % 5 = 0 OR image_id % 7 = 0")
+def _(v):
+    files = v.images.select("image_id", F.col("file_name").alias("path"), F.col("width").alias("size"), F.lit(1).alias("modified"))
+    before = files.where("image_id % 3 <> 0").withColumn("modified", F.expr("if(image_id % 7 = 0, 0, 1)"))
+    return changed_files(files.where("image_id % 3 = 0 or image_id % 5 <> 0"), before)
+
+
 # -- the rest of the scalar and nested functions
 
 

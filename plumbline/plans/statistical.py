@@ -177,7 +177,15 @@ def _(v):
     return selection.quota(v.part, "p_type", ["p_partkey"], per_class=10, classes=3, seed=5).select("p_partkey", "p_type")
 
 
-@query("sel_02_coupled_quota")
+@query(
+    "sel_02_coupled_quota",
+    f"""WITH weeds AS (SELECT * FROM annotations WHERE role = 'weed' AND ord <= 3), p AS (SELECT species FROM weeds GROUP BY species HAVING count(*) >= 10),
+    b AS (SELECT species, species IN (SELECT species FROM p) AS able FROM annotations GROUP BY species HAVING count(*) >= 10),
+    k AS (SELECT *, row_number() OVER (ORDER BY NOT able, md5('2:' || species), species) AS place FROM b),
+    x AS (SELECT *, {rank('species', "image_id || ':' || ord", 2)} AS n FROM annotations), y AS (SELECT *, {rank('species', "image_id || ':' || ord", 2)} AS n FROM weeds)
+    SELECT image_id, ord::BIGINT AS ord, species, true AS boxed FROM x WHERE n <= 10 AND species IN (SELECT species FROM k WHERE place <= 4)
+    UNION ALL SELECT image_id, ord::BIGINT, species, false FROM y WHERE n <= 10 AND species IN (SELECT species FROM k WHERE able AND place <= 2)""",
+)
 def _(v):
     boxed, plain = selection.coupled_quota(v.annotations, v.annotations.where("role = 'weed' and ord <= 3"), "species", ["image_id", "ord"], 4, 2, 10, seed=2)
     return boxed.select("image_id", "ord", "species", F.lit(True).alias("boxed")).unionByName(plain.select("image_id", "ord", "species", F.lit(False).alias("boxed")))
@@ -306,7 +314,15 @@ def _(v):
     return generate.density_questions(v.images, v.annotations).select("id", "benchmark_class", "true_count", "true_coverage")
 
 
-@query("gen_06_grounded")
+@query(
+    "gen_06_grounded",
+    f"""WITH u AS (SELECT * FROM {CELL_AREA}), g AS (SELECT image_id FROM annotations JOIN u USING (image_id) WHERE width * height > 0 GROUP BY image_id, width, height
+    HAVING any_value(area) / (width * height) >= 0.05 AND count(DISTINCT species) FILTER (WHERE role = 'weed') >= 1
+    AND sqrt(power((sum((x + w / 2) * w * h) / sum(w * h) - width / 2.0) / (width / 2.0), 2) + power((sum((y + h / 2) * w * h) / sum(w * h) - height / 2.0) / (height / 2.0), 2)) / sqrt(2.0) <= 0.7),
+    n AS (SELECT dataset, image_id, species, bool_or(role = 'weed') AS target, count(*) AS n_boxes FROM annotations JOIN g USING (image_id) GROUP BY dataset, image_id, species),
+    m AS (SELECT *, dense_rank() OVER (PARTITION BY dataset, image_id ORDER BY md5('0:' || image_id || ':' || species), species) AS number FROM n)
+    SELECT dataset || ':' || image_id || ':' || species || ':grounded' AS id, dataset, image_id, species, number, n_boxes FROM m WHERE target""",
+)
 def _(v):
     return generate.grounded_questions(v.annotations)
 

@@ -81,6 +81,48 @@ def snapshots(stream: DataFrame, write: Callable[[dict], None], every: str, chec
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def signatures(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, modified, size) of the files, from their listing alone: no content is read."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, change) between two listings: added, changed or removed."""
+    state = lambda df: df.select("path", F.struct("modified", "size").alias("s"))
+    both = state(now).alias("n").join(state(before).alias("b"), "path", "full")
+    change = F.when(F.col("b.s").isNull(), "added").when(F.col("n.s").isNull(), "removed").when(F.col("n.s") != F.col("b.s"), "changed")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
+class Reloaded:
+    """A table that is loaded anew when its files change.
+
+    Files that cannot be loaded, as one caught half-written, leave the table as it was; they are tried again
+    at the next call.  The first load must succeed."""
+
+    def __init__(self, spark: SparkSession, pattern: str, load: Callable[[], DataFrame]):
+        self.spark, self.pattern, self.load = spark, pattern, load
+        self.seen: tuple | None = None
+        self.table: DataFrame | None = None
+        self.failure: Exception | None = None
+
+    def signature(self) -> tuple:
+        """Of all the files, as two numbers; the driver holds no listing."""
+        return tuple(signatures(self.spark, self.pattern).agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modified", "size"))).first())
+
+    def get(self) -> DataFrame:
+        now = self.signature()
+        if now != self.seen:
+            try:
+                # before loading: a change meanwhile is found at the next call
+                self.table, self.seen, self.failure = self.load(), now, None
+            except Exception as e:
+                if self.table is None:
+                    raise
+                self.failure = e
+        return self.table
+
+
 def replay_attempts(attempts: DataFrame, keys: Sequence[str], transient: int, parse: int) -> DataFrame:
     """How a request with separate retry budgets ends: ok, failed or open, and the attempts it used.
 

@@ -231,3 +231,10 @@ def test_refit_comes_near_a_planted_rule(spark):
 def test_measure(spark):
     df = spark.createDataFrame(list(zip([1, 2, 3, 1], [1, 3, 1, 1])), "label int, guess int")
     assert tuple(fitting.measure(df, "label", F.col("guess")).first())[1:] == (0.5, 0.75, 0.75)
+
+
+def test_dashes_around_a_box(spark):
+    box = spark.sql("select named_struct('x1', 0.0D, 'y1', 0.0D, 'x2', 20.0D, 'y2', 0.0D) as c")
+    got = [tuple(d) for d in box.select(geo.dashes(F.col("c"), F.lit(2)).alias("d")).first().d]
+    # the upper side from the left, the lower one from the right; sides without length have none
+    assert got == [(0, 0, 10, 0), (16, 0, 20, 0), (20, 0, 10, 0), (4, 0, 0, 0)]

@@ -164,3 +164,29 @@ def test_retry_budgets(spark):
     df = spark.createDataFrame([(1, ["transient", "ok"]), (2, ["parse", "parse", "ok"]), (3, ["truncated", "ok"]), (4, ["transient"]), (5, ["transient"] * 4)], "id int, outcomes array<string>")
     got = {r.id: (r.state, r.used) for r in stream.replay_attempts(df, ["id"], 3, 1).collect()}
     assert got == {1: ("ok", 2), 2: ("failed", 2), 3: ("failed", 1), 4: ("open", 1), 5: ("failed", 4)}
+
+
+def test_reload_on_change(spark, tmp_path):
+    folder = tmp_path / "q"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id": 1}\n')
+    loads = []
+
+    def load():
+        loads.append(1)
+        text = "".join(f.read_text() for f in sorted(folder.iterdir()))
+        return spark.createDataFrame([(json.loads(line)["id"],) for line in text.splitlines()], "id long")
+
+    table = stream.Reloaded(spark, str(folder), load)
+    ids = lambda: sorted(r.id for r in table.get().collect())
+    assert ids() == [1] and ids() == [1] and len(loads) == 1
+    before = spark.createDataFrame(stream.signatures(spark, str(folder)).collect())
+    (folder / "b.json").write_text('{"id": 2')
+    assert ids() == [1] and isinstance(table.failure, ValueError)
+    (folder / "b.json").write_text('{"id": 2}\n')
+    assert ids() == [1, 2] and table.failure is None
+    (folder / "a.json").unlink()
+    changes = stream.changed_files(stream.signatures(spark, str(folder)), before)
+    assert sorted((os.path.basename(r.path), r.change) for r in changes.collect()) == [("a.json", "removed"), ("b.json", "added")]
+    plan = stream.signatures(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
