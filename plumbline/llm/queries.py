@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontam, hnsw, langid, lm, manifest, mixing, oracles, suffix, tokens, toxicity
+from plumbline.llm import chat, decontam, hnsw, langid, lm, manifest, mixing, oracles, quality, resampling, suffix, tokens, toxicity
 from plumbline.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -73,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.ORACLE_SQL,
         "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
         "op9_mix_sources": mixing.ORACLE_SQL,
+        "op11_quality_rules": quality.ORACLE_SQL,
         "op13_merkle_manifest": manifest.ORACLE_SQL,
     }
