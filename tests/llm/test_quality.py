@@ -48,7 +48,7 @@ def own(i, n=30):
 
 
 SHARED = "Share THIS page  7 times"
-ROWS = [(i, own(i) + "\n" + SHARED.replace("7", str(i % 10)) + ("\n" + own(0, 3)) * (i % 4) + " #&", "a.org") for i in range(40)]
+ROWS = [(400 + i, own(i) + "\n" + SHARED.replace("7", str(i % 10)) + ("\n" + own(0, 3)) * (i % 4) + " #&", "a.org") for i in range(40)]
 ROWS += [(100 + i, own(i), "b.org") for i in range(30)]
 COPY = "\n".join(own(900 + k, 12) for k in range(5))
 ROWS += [(200 + i, COPY + f"\n{i}", "c.org") for i in range(15)] + [(300 + i, COPY, "d.org") for i in range(10)]
@@ -64,7 +64,7 @@ def test_against_hand(spark, rows):
 
 def test_verdicts(spark):
     kept = {r.doc_id: r.kept for r in q.quality(frame(spark, ROWS)).collect()}
-    assert all(kept[i] for i in [*range(40), *range(100, 130), *range(300, 310)]) and not any(kept[i] for i in range(200, 215))
+    assert all(kept[i] for i in [*range(400, 440), *range(100, 130), *range(300, 310)]) and not any(kept[i] for i in range(200, 215))
 
 
 def test_shuffled_common_lines_are_the_same(spark, monkeypatch):
