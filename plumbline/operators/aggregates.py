@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import wilson
+from plumbline.operators.ranges import group_quantiles
 
 
 def rate(df: DataFrame, keys: Sequence[str], flag: Column, name: str = "rate") -> DataFrame:
@@ -21,9 +22,17 @@ def means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFra
 
 def error_stats(df: DataFrame, keys: Sequence[str], error: Column) -> DataFrame:
     """n, mean and median absolute error, and bias."""
-    return df.groupBy(*keys).agg(
-        F.count(error).alias("n"), F.avg(F.abs(error)).alias("mean_absolute"), F.median(F.abs(error)).alias("median_absolute"), F.avg(error).alias("bias")
-    )
+    plain = df.groupBy(*keys).agg(F.count(error).alias("n"), F.avg(F.abs(error)).alias("mean_absolute"), F.avg(error).alias("bias"))
+    return with_medians(plain, df, keys, F.abs(error), "median_absolute").select(*keys, "n", "mean_absolute", "median_absolute", "bias")
+
+
+def with_medians(grouped: DataFrame, df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``grouped`` (a row per key) with the key's exact median, for which no buffer holds a key's values."""
+    found = group_quantiles(df, keys, value, [0.5], [name]).alias("m")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}"))
+    return grouped.alias("g").join(found, on, "left").select("g.*", f"m.{name}")
 
 
 def ratio_mean(df: DataFrame, keys: Sequence[str], over: Column, under: Column, name: str) -> DataFrame:
@@ -91,11 +100,11 @@ def macro_f1(df: DataFrame, keys: Sequence[str], truth: str, guess: str) -> Data
 
 def localisation_block(df: DataFrame, keys: Sequence[str], score: Column, placed: Column, error: Column, answered: Column) -> DataFrame:
     """Scores over scored rows, and over all rows with 0 for the rest."""
-    return df.groupBy(*keys).agg(
-        F.count(score).alias("n_scored"), F.count_if(answered & score.isNull()).alias("n_invalid"), F.avg(score).alias("mean_score"),
-        F.median(score).alias("median_score"), F.try_divide(F.coalesce(F.sum(score), F.lit(0.0)), F.count("*")).alias("mean_score_all"), F.avg(placed).alias("mean_iou"),
+    plain = df.groupBy(*keys).agg(
+        F.count(score).alias("n_scored"), F.count_if(answered & score.isNull()).alias("n_invalid"), F.avg(score).alias("mean_score"), F.try_divide(F.coalesce(F.sum(score), F.lit(0.0)), F.count("*")).alias("mean_score_all"), F.avg(placed).alias("mean_iou"),
         F.avg((error == 0).cast("int")).alias("count_exact_rate"), F.avg(F.abs(error)).alias("count_mae"), F.avg(error).alias("count_bias"),
     )
+    return with_medians(plain, df, keys, score, "median_score")
 
 
 def usage_block(df: DataFrame, keys: Sequence[str], failed: Column, cost: Column, tokens: Column, latency: Column, retries: Column) -> DataFrame:

@@ -66,11 +66,26 @@ def pairs_across(df: DataFrame, keys: Sequence[str], group: str, columns: Sequen
     return _pairs(df, keys, columns, [group], lambda a, b: a[group] < b[group])
 
 
-def _pairs(df, keys, columns, more, rule) -> DataFrame:
+def pairs_all(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """All ordered pairs of rows of a key, a row with itself included."""
+    return _pairs(df, keys, columns, [], lambda a, b: F.lit(True))
+
+
+#: Rows of a key that one task pairs with as many others.
+BLOCK = 1024
+
+
+def _pairs(df, keys, columns, more, rule, block: int | None = None) -> DataFrame:
+    """A key's rows are dealt into blocks by a hash of their values, and each pair of blocks is a join key of its own, so
+    that a crowded key is spread over tasks; keys of up to ``block`` rows are one block and are not copied."""
+    block = block or BLOCK
     names = list(dict.fromkeys([*columns, *more]))
-    a = df.select(*keys, F.struct(*names).alias("_a"))
-    b = df.select(*keys, F.struct(*names).alias("_b"))
-    both = a.join(b, list(keys)).where(rule(F.col("_a"), F.col("_b")))
+    crowded = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    rows = df.select(*keys, F.struct(*names).alias("_r")).join(crowded, list(keys), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("_r"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = rows.select(*keys, own.alias("_i"), every.alias("_j"), F.col("_r").alias("_a"))
+    b = rows.select(*keys, every.alias("_i"), own.alias("_j"), F.col("_r").alias("_b"))
+    both = a.join(b, [*keys, "_i", "_j"]).where(rule(F.col("_a"), F.col("_b")))
     return both.select(*keys, *[F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in "ab" for c in columns])
 
 

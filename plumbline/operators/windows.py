@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import ranges
 from plumbline.operators.reshape import with_row_index
 
 
@@ -74,11 +75,8 @@ def fixed_bins(value: Column, edges: Sequence[float], left_closed: bool = False)
 
 
 def failure_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, name: str = "streak") -> DataFrame:
-    """Consecutive failures up to each row; a success resets them."""
-    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = df.withColumn("_f", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_f")).over(past))
-    within = Window.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn(name, F.sum("_f").over(within)).drop("_f", "_island")
+    """Consecutive failures up to each row; a success resets them.  A key of any size is spread over ranges."""
+    return ranges.failure_streaks(df, keys, order, failed, name)
 
 
 def first_trip(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, threshold: int) -> DataFrame:
@@ -88,6 +86,5 @@ def first_trip(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed:
 
 
 def rolling_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "recent") -> DataFrame:
-    """Rows of the key within the last ``seconds`` up to each row's time."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn(name, F.count("*").over(w))
+    """Rows of the key within the last ``seconds`` up to each row's time.  A key of any size is spread over ranges."""
+    return ranges.rolling_count(df, keys, ts, seconds, name)
