@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import response_id
 from plumbline.operators.windows import latest
+
 from plumbline.schemas import JUDGEMENT, RESPONSE_RECORD
+from plumbline.sources.versions import file_system
 
 
 def read_log(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """Parsed lines with ``_file`` and ``_line``, in which order lines stand; torn and blank lines are left out.
+    """Parsed lines with ``_file`` and ``_line``, in which order lines stand; torn and blank lines are left out."""
+    return parse_lines(read_lines(spark, path), schema)
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(_file, _line, _text).  A large file is read in splits, by several tasks.
 
-    A log is one file per run and read whole, so that a line's number is its place in it."""
-    text = spark.read.option("wholetext", True).text(path)
-    return parse_lines(text.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_line", "_text")), schema)
+    _line says in which order a file's lines stand: by the byte at which the split begins, then by the
+    place within the split, which rises in the order in which a task reads it."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), place.alias("_line"), F.col("value").alias("_text"))
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
@@ -60,6 +68,26 @@ def consolidate(last: DataFrame, order: DataFrame, previous: DataFrame | None =
 
 
 def tail(spark: SparkSession, path: str, n: int) -> tuple[list[str], int]:
-    """The last n non-blank lines and how many there are."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("k", "t")).where(F.trim("t") != "")
-    return [r.t for r in lines.orderBy(F.desc("k")).limit(n).collect()][::-1], lines.count()
+    """The last n non-blank lines and how many there are.
+
+    The lines come from the file's end, of which twice as much is read until it holds them; counting is a job over splits."""
+    return last_lines(spark, path, n), spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def last_lines(spark: SparkSession, path: str, n: int, block: int = 1 << 16) -> list[str]:
+    """The last n non-blank lines, read by seeking."""
+    fs, at = file_system(spark, path)
+    size = fs.getFileStatus(at(path)).getLen()
+    while True:
+        start = max(0, size - block)
+        stream = fs.open(at(path))
+        try:
+            stream.seek(start)
+            data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size - start))
+        finally:
+            stream.close()
+        # what stands before the first line break may be the rest of a longer line
+        lines = [x.decode("utf-8", "replace") for x in data.split(b"\n")[bool(start) :] if x.strip()]
+        if len(lines) >= n or not start:
+            return lines[-n:] if n > 0 else []
+        block *= 2

@@ -1,10 +1,9 @@
-"""Writers.  A table that is read and replaced is written aside first and then swapped in."""
+"""Writers.  A table that is read and replaced gets a new version (see ``versions``)."""
 
 from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,25 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import draw_key
 from plumbline.operators.checks import check_questions
 from plumbline.operators.windows import position_within
-
-
-def _swap(df: DataFrame, new: str, path: str) -> None:
-    jvm = df.sparkSession._jvm
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{path}.old-{uuid.uuid4().hex}"))
-    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Parquet at ``path``, even if ``df`` reads from there: written aside, then swapped in by two renames.
-
-    Between them ``path`` does not exist for a moment; what stood there is deleted last."""
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    _swap(df, new, path)
+from plumbline.sources.versions import read_table, replace_table
 
 
 def write_questions(df: DataFrame, images: DataFrame, path: str, order: str = "ord") -> None:
@@ -56,7 +37,7 @@ def append_records(df: DataFrame, path: str) -> None:
 
 def replace_judge_columns(table_path: str, merge: Callable[[DataFrame], DataFrame], spark) -> None:
     """Rewrites a table in place with merged columns; running it again changes nothing."""
-    replace_table(merge(spark.read.parquet(table_path)), table_path)
+    replace_table(merge(read_table(spark, table_path)), table_path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

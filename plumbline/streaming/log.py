@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.windows import latest
-from plumbline.sources.sinks import replace_table
+from plumbline.streaming.state import KeyedState
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
@@ -21,19 +20,12 @@ def read_stream(spark: SparkSession, folder: str, schema: str, files: int = 1) -
 
 
 def upsert(stream: DataFrame, path: str, keys: Sequence[str], order: str | None, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest record of each key at ``path``.
+    """Keeps the latest record of each key at ``path``, where :class:`KeyedState` reads it.
 
     With ``order`` the greatest value of that column wins (event time), else what arrives later."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_epoch", F.lit(epoch)).withColumn("_n", F.monotonically_increasing_id())
-        try:
-            rows = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        replace_table(latest(rows, keys, [order] if order else ["_epoch", "_n"]), path)
+        KeyedState(batch.sparkSession, path, keys, order).apply(batch, epoch)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
