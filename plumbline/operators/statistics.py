@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -48,19 +49,91 @@ def bootstrap_by(df: DataFrame, by: Sequence[str], stat: Callable[[pd.DataFrame]
     return df.groupBy(*by).applyInPandas(run, f"{types}, n long, estimate double, lo double, hi double")
 
 
+#: Where the Poisson(1) distribution function passes 0, 1, ... 7: how many of them a uniform number reaches is its weight.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+#: Weights that are held at once.
+_HELD = 1 << 21
+
+
+def poisson_weights(codes: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """A Poisson(1) weight for each code (a 32-bit number) and replicate 1 to n_boot, hashed in plain 32-bit arithmetic."""
+    low = np.uint64(0xFFFFFFFF)
+    b = (np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(seed)) & low
+    x = codes.astype(np.uint64)[:, None] ^ b[None, :]
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x45D9F3B)) & low
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON), x / 4294967296.0, "right")
+
+
+def cluster_code(df: DataFrame, key: Sequence[str]) -> Column:
+    """32 bits that name a cluster: an integer key itself, anything else its crc32."""
+    if len(key) == 1 and dict(df.dtypes)[key[0]] in ("tinyint", "smallint", "int", "bigint"):
+        return F.pmod(F.coalesce(F.col(key[0]), F.lit(-1)).cast("long"), F.lit(1 << 32))
+    return F.crc32(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def replicate_sums(clusters: DataFrame, by: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """(by, _over, _under): arrays of the weighted sums of ``_o`` and ``_u`` of each replicate, over clusters (by, _code, _o, _u).
+
+    A task adds its clusters up before anything is sent: a row per group and task, of 16 bytes a replicate."""
+    types = ", ".join(f"{c} {dict(clusters.dtypes)[c]}" for c in by)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({**{c: [k[i] for k in sums] for i, c in enumerate(by)}, "_over": [v[0] for v in sums.values()], "_under": [v[1] for v in sums.values()]})
+
+        for part in parts:
+            for at in range(0, len(part), max(1, _HELD // n_boot)):
+                piece = part.iloc[at : at + max(1, _HELD // n_boot)]
+                weights = poisson_weights(piece["_code"].to_numpy(), n_boot, seed)
+                groups = piece.groupby(list(by), sort=False, dropna=False).indices if by else {(): np.arange(len(piece))}
+                for group, places in groups.items():
+                    k = tuple(None if pd.isna(x) else x for x in (group if isinstance(group, tuple) else (group,)))
+                    over, under = (piece[c].to_numpy(np.float64)[places] @ weights[places] for c in ("_o", "_u"))
+                    known = sums.setdefault(k, [np.zeros(n_boot), np.zeros(n_boot)])
+                    known[0] += over
+                    known[1] += under
+                if len(sums) * n_boot > _HELD:
+                    yield rows()
+                    sums.clear()
+        if sums:
+            yield rows()
+
+    partial = clusters.select(*by, "_code", "_o", "_u").mapInPandas(run, f"{types + ', ' if by else ''}_over array<double>, _under array<double>")
+    add = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), n_boot), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)).alias(c)
+    return partial.groupBy(*by).agg(add("_over"), add("_under"))
+
+
+def bootstrap_ratio(df: DataFrame, by: Sequence[str], over: Column, under: Column, cluster: Sequence[str], n_boot: int = 2000, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
+    """n (clusters), estimate, lo and hi of sum(over) / sum(under) per group, resampling whole clusters.
+
+    Poisson resampling: a cluster counts in each replicate as often as a hash of its key says, so groups and clusters of any
+    size are added up wherever they lie.  Replicates without a quotient are skipped; with fewer than 90 % left there is no interval."""
+    clusters = df.groupBy(*by, *[c for c in cluster if c not in by]).agg(F.coalesce(F.sum(over), F.lit(0)).cast("double").alias("_o"), F.coalesce(F.sum(under), F.lit(0)).cast("double").alias("_u"))
+    clusters = clusters.withColumn("_code", cluster_code(df, cluster))
+    whole = clusters.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum("_o"), F.sum("_u")).alias("estimate"))
+    quotients = F.sort_array(F.filter(F.zip_with("_over", "_under", lambda o, u: F.try_divide(o, u)), lambda q: q.isNotNull() & ~F.isnan(q)))
+    found = replicate_sums(clusters, by, n_boot, seed).select(*by, quotients.alias("_q"))
+
+    def quantile(share: float) -> Column:
+        place = F.lit(share) * (F.size("_q") - 1)
+        low, high = (F.get("_q", rank(place).cast("int")) for rank in (F.floor, F.ceil))
+        return F.when(F.size("_q") >= 0.9 * n_boot, low + (place - F.floor(place)) * (high - low))
+
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}"))
+    found = found.select(*by, quantile(alpha / 2).alias("lo"), quantile(1 - alpha / 2).alias("hi"))
+    return whole.alias("w").join(found.alias("f"), on).select("w.*", "f.lo", "f.hi")
+
+
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], n_boot: int = 2000, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
-    """Interval of a mean by Poisson resampling, distributed: each row gets a weight per replicate from
-    a hash of its key, and replicates are sums."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), *key), F.lit(1 << 30)) / float(1 << 30)
-    # the Poisson(1) quantile function
-    cuts = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) if k else np.exp(-1) for k in range(8)])
-    weight = F.lit(0)
-    for c in cuts:
-        weight = weight + (u >= float(c)).cast("int")
-    each = df.where(F.col(value).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    replicas = each.groupBy(*by, "_b").agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias("_m"))
-    bounds = replicas.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("estimate")).join(bounds, list(by)).select(*by, "n", "estimate", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    """n, estimate and interval of a mean, resampling rows by their key; NULLs are left out."""
+    known = F.col(value).isNotNull().cast("int")
+    return bootstrap_ratio(df.where(F.col(value).isNotNull()), by, F.col(value), known, key, n_boot, alpha, seed)
 
 
 def paired_differences(df: DataFrame, group: str, a: str, b: str, value: str, key: str) -> DataFrame:
