@@ -2,51 +2,27 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FENCED = re.compile(r"```\w*\s*(.*?)\s*```\s*", re.DOTALL)
-
-
-def first_object(text: str | None) -> str | None:
-    """The first JSON object in a text, whatever stands around it."""
-    if text is None:
-        return None
-    body = text.strip()
-    fenced = _FENCED.fullmatch(body)
-    body = fenced[1] if fenced else body
-    decoder, at = json.JSONDecoder(), body.find("{")
-    try:
-        whole = json.loads(body)
-        if isinstance(whole, dict):
-            return json.dumps(whole, ensure_ascii=False)
-    except ValueError:
-        pass
-    while at >= 0:
-        try:
-            return json.dumps(decoder.raw_decode(body, at)[0], ensure_ascii=False)
-        except ValueError:
-            at = body.find("{", at + 1)
-    return None
-
-
-def _scan_objects(text: pd.Series) -> pd.Series:
-    return text.map(first_object, na_action="ignore")
+#: A brace that may begin an object: a name or the end of the object comes next.
+_BRACE = r"\{(?=\s*[\"}])"
 
 
 def json_object(text: Column) -> Column:
     """The first JSON object in noisy text as JSON; NULL without one.
 
-    Texts that begin with an object stay in the JVM, whose parser stops where it ends; only the
-    others reach the Arrow UDF."""
-    bare = F.trim(text)
-    parsed = F.try_parse_json(bare)
-    clean = bare.startswith("{") & parsed.isNotNull()
-    return F.when(clean, F.to_json(parsed)).otherwise(F.pandas_udf(_scan_objects, "string")(F.when(~F.coalesce(clean, F.lit(False)), text)))
+    The text is cut at the braces that may begin an object.  A fold over the pieces knows where each brace stands
+    and hands the text from there to the parser, which stops where the object ends, until one is read; the rest of
+    the pieces cost nothing.  Fences, prose and braces around the object need no care of their own."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        brace = acc["at"] + F.length(piece)
+        here = F.when(brace < F.length(text), F.to_json(F.try_parse_json(F.substr(text, brace + 1))))
+        return F.struct((brace + 1).alias("at"), F.coalesce(acc["found"], here).alias("found"))
+
+    return F.aggregate(F.split(text, _BRACE, -1), start, step, lambda acc: acc["found"])
 
 
 def field(parsed: Column, name: str) -> Column:
@@ -85,11 +61,15 @@ def decode_array(c: Column, element: str = "string") -> Column:
 
 
 def content(body: Column) -> Column:
-    """The reply text of a chat response body, given as a string or as parts."""
-    message = "$.choices[0].message.content"
-    parts = F.from_json(F.get_json_object(body, message), "array<struct<text: string>>")
-    plain = F.get_json_object(body, message)
-    return F.when(plain.startswith("["), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")).otherwise(plain)
+    """The reply text of a chat response body, given as a string or as a list of parts; empty where it is anything
+    else, NULL without a message.  The kind of the JSON value tells them apart, so a text may begin as a list does."""
+    parsed = F.try_parse_json(body)
+    found = F.try_variant_get(parsed, "$.choices[0].message.content", "variant")
+    kind = F.schema_of_variant(found)
+    parts = F.transform(F.try_variant_get(found, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    message = F.try_variant_get(parsed, "$.choices[0].message", "variant")
+    text = F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(parts, ""))
+    return F.when(message.isNotNull(), F.coalesce(text, F.lit("")))
 
 
 def body_error(body: Column) -> Column:

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 #: Characters stripped from both ends of an answer (fixed values).
 OUTER = "\"'`."
+#: What a category's name looks like, and a box's label (fixed values).
+CATEGORY = r"^(crop|weed):\s*([^(]+?)\s*(?:\(([^)]+)\))?$"
+BOX_LABEL = r"^(?:bounding box|box|label|number)?\s*#?\s*([0-9]+)(?:\.0+)?$"
 
 
 def light(c: Column) -> Column:
-    """Trimmed, without outer quotes and full stops, single-spaced, lower case; NULL stays NULL."""
-    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trimmed, without outer quotes and full stops, single-spaced, case folded; NULL stays NULL.
+
+    White space is that of Unicode.  Folding is lower case with ss for sharp s and one sigma; the rarer
+    folds of ligatures are left out."""
+    bare = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     bare = F.regexp_replace(bare, r"^[\"'`.]+|[\"'`.]+$", "")
-    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
-    return F.lower(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
+    return F.replace(F.translate(F.lower(F.regexp_replace(bare, r"(?U)\s+", " ")), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def non_blank(c: Column) -> Column:
@@ -22,12 +28,14 @@ def non_blank(c: Column) -> Column:
 
 
 def species(c: Column) -> Column:
-    """struct(role, name, qualifier) of 'role: name (qualifier)'; NULL where it is not one."""
-    pattern = r"^(crop|weed):\s*(.+?)(?:\s*\(([^()]*)\))?$"
-    part = lambda k: F.regexp_extract(F.trim(c), pattern, k)
+    """struct(role, name, qualifier) of 'role: name (qualifier)'; NULL where it is not one.
+
+    A name has no opening bracket, a qualifier is not empty, and nothing follows it."""
+    bare = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    part = lambda k: F.regexp_extract(bare, CATEGORY, k)
     return F.when(
-        F.trim(c).rlike(pattern),
-        F.struct(part(1).alias("role"), part(2).alias("name"), F.nullif(part(3), F.lit("")).alias("qualifier")),
+        bare.rlike(CATEGORY),
+        F.struct(part(1).alias("role"), F.trim(part(2)).alias("name"), F.nullif(part(3), F.lit("")).alias("qualifier")),
     )
 
 
@@ -66,9 +74,11 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def box_label(c: Column) -> Column:
-    """'Box 2', '#2' and '2.0' are all '2'; text without a number is itself, lower case."""
-    number = F.regexp_extract(c, r"(\d+)(?:\.0+)?", 1)
-    return F.when(number != "", number).otherwise(F.lower(F.trim(c)))
+    """'Box 2', '#2' and '2.0' are all '2'; any other text is itself, tidied and in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"^[\"'`]+|[\"'`.]+$", "")
+    tidy = F.lower(F.regexp_replace(bare, r"(?U)\s+", " "))
+    number = F.regexp_extract(tidy, BOX_LABEL, 1)
+    return F.when(number != "", number).otherwise(tidy)
 
 
 def tidy_message(c: Column) -> Column:

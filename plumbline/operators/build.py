@@ -27,7 +27,7 @@ def build(images: DataFrame, annotations: DataFrame, tasks: dict[str, dict[str,
     def select(df: DataFrame, cls: str, task: str, s: dict[str, Any]) -> DataFrame:
         return selection.quota(df, cls, ["id"], s.get("per_class"), s.get("classes"), seed)
 
-    rest = lambda s: {k: v for k, v in s.items() if k not in ("per_class", "classes", "share")}
+    rest = lambda s: {k: v for k, v in s.items() if k not in ("per_class", "classes")}
     for task, s in tasks.items():
         if task == "species":
             made[task] = select(generate.species_questions(annotations, seed=seed, **rest(s)), "species", task, s).withColumn("benchmark_class", F.col("species"))

@@ -74,8 +74,8 @@ def error_flags(interpretation: Column, knowledge: Column, visual: Column) -> Co
 
 
 def failure_kind(status: Column) -> Column:
-    """How an HTTP status failed: worth another try, a bad request, or fatal."""
-    return F.when(status.isin(408, 409, 425, 429) | (status >= 500), "transient").when(status.isin(401, 402, 403), "fatal").otherwise("request")
+    """How an HTTP status failed (fixed values): worth another try, fatal for the whole run, or a fault of this request."""
+    return F.when(status.isin(408, 429) | (status >= 500), "transient").when(status.isin(401, 402), "fatal").otherwise("request")
 
 
 def pair_agreement(choice_ok: Column, open_ok: Column) -> Column:

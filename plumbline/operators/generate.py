@@ -144,7 +144,7 @@ def overlay_plan(rows: DataFrame, truth: str, replied: str) -> DataFrame:
     Boxes are arrays of corners.  ``strip`` pixels for a legend stand above the image, in
     letters of ``font`` pixels; all places are those of the finished picture."""
     font = F.greatest(F.lit(14), F.bround(F.col("height") / 40).cast("int"))
-    out = rows.withColumns({"line": geo.line_width(F.col("width"), F.col("height")), "font": font, "strip": font * 2})
+    out = rows.withColumns({"line": geo.overlay_line(F.col("width"), F.col("height")), "font": font, "strip": font * 2})
     lower = lambda c: F.transform(c, lambda b: F.struct(b["x1"].alias("x1"), (b["y1"] + F.col("strip")).alias("y1"), b["x2"].alias("x2"), (b["y2"] + F.col("strip")).alias("y2")))
     drawn = F.flatten(F.transform(lower(F.col(replied)), lambda b: geo.dashes(b, F.col("line"))))
     return out.withColumns({"solid": lower(F.col(truth)), "dashes": drawn})

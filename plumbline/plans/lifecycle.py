@@ -9,13 +9,14 @@ from plumbline.functions import boxes as bx
 from plumbline.functions import geometry as geo
 from plumbline.functions import jsonx, prompts
 from plumbline.operators import aggregates as agg
-from plumbline.operators import build, fitting, generate, joins, reshape, selection, windows
+from plumbline.operators import build, expand, fitting, generate, joins, reshape, selection, windows
 from plumbline.operators import statistics as stat
 from plumbline.plans.registry import query
 from plumbline.plans.relational import LATEST, latest, r
-from plumbline.plans.scalars import MOVED_BOXES, TRUTH_BOXES, greedy_ctes
+from plumbline.plans.scalars import MOVED_BOXES, PAIR_RULE, PAIRS, TRUTH_BOXES, greedy_ctes
+from plumbline.plans.statistical import DENSITY_SQL, GROUNDED_SQL
 from plumbline.sources import annotations, logs, sinks, tables
-from plumbline.store import written_text
+from plumbline.store import written_logs, written_text
 from plumbline.streaming.log import changed_files, completion_rate
 
 # -- sources
@@ -63,11 +64,14 @@ RECORD = "model string, question_id long, status string, id long"
 
 
 def lines(v):
-    """The responses as log lines, a file per run, the last line of each torn."""
-    at = windows.position_within(v.responses, ["run"], ["created_at", "id"], "_line")
-    whole = at.select(F.col("run").alias("_file"), "_line", F.to_json(F.struct("model", "question_id", "status", "id")).alias("_text"))
-    torn = whole.groupBy("_file").agg(F.max("_line").alias("_line")).select("_file", F.col("_line") + 1, F.lit('{"model": "m0", "quest'))
-    return whole.union(torn)
+    """The responses written as logs, a folder of files per run, and read back; the last line of each run is torn."""
+    rows = v.responses.select("run", "created_at", "id", F.to_json(F.struct("model", "question_id", "status", "id")).alias("value"))
+    torn = rows.select("run").distinct().select("run", F.lit(None).cast("timestamp"), F.lit(None).cast("long"), F.lit('{"model": "m0", "quest'))
+    ordered = rows.union(torn).repartitionByRange("run", F.col("created_at").asc_nulls_last(), "id").sortWithinPartitions("run", F.col("created_at").asc_nulls_last(), "id")
+    read = logs.read_lines(v.spark, written_logs(ordered.select("run", "value"), "run"))
+    # a run's files go on one after the other
+    run = F.regexp_extract("_file", "/run=([^/]*)/", 1)
+    return read.select(run.alias("_file"), F.struct(F.col("_file").alias("part"), "_line").alias("_line"), "_text")
 
 
 LINE_LATEST = "SELECT run, model, question_id, id FROM responses QUALIFY row_number() OVER (PARTITION BY run, model, question_id ORDER BY created_at DESC, id DESC) = 1"
@@ -210,8 +214,9 @@ def _(v):
 
 @query("join_16_iou_matrix", "SELECT a.image_id, count(*) AS n, count_if(least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)) AS overlapping FROM annotations a JOIN annotations b ON a.image_id = b.image_id GROUP BY a.image_id")
 def _(v):
-    c = geo.all_corners(F.col("boxes"))
-    return v.boxes.select("image_id", (F.size("boxes") * F.size("boxes")).alias("n"), F.size(geo.iou_pairs(c, c)).alias("overlapping"))
+    box = lambda s: F.struct(*[F.col(f"{c}_{s}").alias(c) for c in "xywh"])
+    pairs = joins.pairs_all(v.annotations.select("image_id", "ord", "x", "y", "w", "h"), ["image_id"], ["ord", "x", "y", "w", "h"])
+    return pairs.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(geo.iou(geo.corners(box("a")), geo.corners(box("b"))) > 0).alias("overlapping"))
 
 
 @query("geo_08_greedy_matching", f"{greedy_ctes(TRUTH_BOXES, MOVED_BOXES.replace('WHERE ord <= 4', ''))} SELECT image_id, n, {r('total', 'total')} FROM e")
@@ -260,13 +265,14 @@ def _(v):
     return v.questions.select("question_id", F.get(jsonx.decode_array(F.col("choices")), 1).alias("second"))
 
 
-@query("jsn_09_response_body", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN event_type ELSE event_type || '!' END AS content, CASE WHEN event_id % 3 = 0 THEN event_type END AS error FROM events")
+@query("jsn_09_response_body", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN event_type WHEN 2 THEN event_type || '!' ELSE '[[' || event_id || ', 2, 3, 4]]' END AS content, CASE WHEN event_id % 4 = 0 THEN event_type END AS error FROM events")
 def _(v):
-    n, t = F.col("event_id") % 3, F.col("event_type")
+    n, t = F.col("event_id") % 4, F.col("event_type")
     error = F.to_json(F.struct(F.struct(t.alias("message")).alias("error")))
-    plain = F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")))
+    boxes = F.concat(F.lit("[["), "event_id", F.lit(", 2, 3, 4]]"))
+    plain = F.to_json(F.struct(F.array(F.struct(F.struct(F.when(n == 1, t).otherwise(boxes).alias("content")).alias("message"))).alias("choices")))
     parts = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(t.alias("text")), F.struct(F.lit("!").alias("text"))).alias("content")).alias("message"))).alias("choices")))
-    body = F.when(n == 0, error).when(n == 1, plain).otherwise(parts)
+    body = F.when(n == 0, error).when(n == 2, parts).otherwise(plain)
     return v.events.select("event_id", jsonx.content(body).alias("content"), jsonx.body_error(body).alias("error"))
 
 
@@ -294,9 +300,13 @@ def _(v):
     return reshape.pivot_first(rates, ["question_type"], "model", "rate", ["m0", "m1"])
 
 
-@query("sel_09_wrong_numbers", "SELECT * FROM (VALUES ('density', 4::BIGINT), ('species', 4)) t(task, n)")
+@query("sel_09_wrong_numbers", "SELECT task, id FROM scored WHERE outcome = 'incorrect' QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('0:' || id), id) <= CASE WHEN task = 'density' THEN 2 ELSE 4 END")
 def _(v):
-    return v.spark.createDataFrame(sorted(selection.resolve_wrong(4, ["species", "density"]).items()), "task string, n long")
+    """As many wrong answers of each task as are asked for."""
+    tasks = sorted(r.task for r in v.scored.select("task").distinct().collect())  # a handful
+    wanted = selection.resolve_wrong({t: 2 if t == "density" else 4 for t in tasks}, tasks)
+    wrong = v.scored.where("outcome = 'incorrect'")
+    return reshape.concat_frames([selection.sample_n(wrong.where(F.col("task") == t), ["task"], ["id"], n) for t, n in wanted.items()]).select("task", "id")
 
 
 @query("cas_12_quality_label", "WITH e AS (SELECT quantile_cont(w * h, 1.0 / 3) AS a, quantile_cont(w * h, 2.0 / 3) AS b FROM annotations) SELECT CASE WHEN w * h <= a THEN 'low' WHEN w * h <= b THEN 'medium' ELSE 'high' END AS quality, count(*) AS n FROM annotations, e GROUP BY ALL")
@@ -304,9 +314,26 @@ def _(v):
     return agg.value_counts(windows.tercile_bins(v.annotations.select((F.col("w") * F.col("h")).alias("area")), "area"), ["quality"])
 
 
-@query("gen_09_whole_benchmark")
+def taken(sql: str, cls: str, most: int) -> str:
+    return f"(SELECT * FROM ({sql}) QUALIFY row_number() OVER (PARTITION BY {cls} ORDER BY md5('0:' || id), id) <= {most})"
+
+
+BENCHMARK = f"""WITH s AS {taken("SELECT dataset || ':' || image_id || ':' || species || ':species_mc' AS id, dataset, image_id, species FROM annotations WHERE role = 'weed' AND width * height > 0 GROUP BY dataset, image_id, species, width, height HAVING sum(w * h) / (width * height) >= 0.02", "species", 5)},
+o AS (SELECT id || ':open_ended' AS id, dataset, image_id, species, id AS ablation_of FROM s QUALIFY row_number() OVER (ORDER BY md5('0:' || id), id) <= round_even(count(*) OVER () * 0.5, 0)),
+p AS (SELECT dataset, image_id, ord_a, ord_b, same FROM {PAIRS} WHERE {PAIR_RULE} QUALIFY row_number() OVER (PARTITION BY dataset, image_id ORDER BY md5('0:' || image_id || ':' || ord_a || ':' || ord_b), ord_a, ord_b) <= 6),
+f AS {taken("SELECT dataset || ':' || image_id || ':' || ord_a || '-' || ord_b || ':fine_grained' AS id, dataset, image_id, CASE WHEN same THEN 'same' ELSE 'different' END AS cls FROM p", "cls", 3)},
+d AS (SELECT d.id, i.dataset, i.image_id, d.benchmark_class AS cls FROM ({{density}}) d JOIN images i ON d.id LIKE i.dataset || ':' || i.image_id || ':density:%' AND split_part(d.id, ':', 2) = i.image_id::VARCHAR),
+g AS ({{grounded}}),
+l AS {taken("SELECT dataset || ':' || image_id || ':' || species || ':localisation' AS id, dataset, image_id, species FROM annotations WHERE image_id IN (SELECT image_id FROM annotations WHERE width * height > 0 GROUP BY image_id HAVING count(*) >= 3 AND count(DISTINCT species) >= 2) GROUP BY dataset, image_id, species HAVING count(*) <= 5 AND min(w * h / (width * height)) >= 0.005", "species", 4)}
+SELECT id, 'species' AS task, dataset, image_id, species AS benchmark_class, NULL::VARCHAR AS ablation_of FROM s UNION ALL SELECT id, 'open_ended', dataset, image_id, species, ablation_of FROM o
+UNION ALL SELECT id, 'fine_grained', dataset, image_id, cls, NULL FROM f UNION ALL SELECT id, 'density', dataset, image_id, cls, NULL FROM d
+UNION ALL SELECT id, 'grounded', dataset, image_id, species, NULL FROM g UNION ALL SELECT id, 'localisation', dataset, image_id, species, NULL FROM l"""
+
+
+@query("gen_09_whole_benchmark", BENCHMARK.format(density=DENSITY_SQL, grounded=GROUNDED_SQL))
 def _(v):
-    return build.build(v.images, v.annotations, {"species": {"per_class": 5, "share": 0.2}, "open_ended": {"share": 0.5}, "density": {}, "localisation": {"per_class": 4}})
+    """All six tasks."""
+    return build.build(v.images, v.annotations, {"species": {"per_class": 5, "share": 0.02}, "open_ended": {"share": 0.5}, "fine_grained": {"per_class": 3}, "density": {}, "grounded": {}, "localisation": {"per_class": 4}})
 
 
 @query("gen_10_filtered_document", "SELECT species, count(*) AS n FROM annotations WHERE species <> 'promo' GROUP BY species")
@@ -389,13 +416,18 @@ def _(v):
     return stat.wilson_table(v.responses, ["model"], F.col("latency") > 50).select("model", "n", "k")
 
 
-@query("udf_06_parallel_map", "SELECT doc_id, length(text) AS n FROM documents")
+@query("udf_06_parallel_map", "SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS ordinal, doc_id, length(text) AS n FROM documents")
 def _(v):
-    def lengths(parts):
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n": part["text"].str.len()})
+    """The lengths of all texts, the longest first."""
+    lengths = lambda part: pd.DataFrame({"doc_id": part["doc_id"], "n": part["text"].str.len()})
+    return expand.parallel_map(v.documents, lengths, "doc_id long, n long", [F.desc("n_chars"), "doc_id"])
+
 
-    return v.documents.select("doc_id", "text").mapInPandas(lengths, "doc_id long, n long")
+@query("udtf_02_page_links", r"""SELECT page_id, k - 1 AS position, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&') AS label
+FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages))""")
+def _(v):
+    """One page to many links, by a table function whose columns follow from its argument."""
+    return expand.page_parts(v.pages, "html", "links", ["page_id"])
 
 
 @query("udtf_01_one_to_many", "SELECT image_id, count(*) AS n FROM annotations GROUP BY image_id")

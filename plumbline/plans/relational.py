@@ -315,10 +315,14 @@ def _(v):
     return done.crossJoin(F.broadcast(total)).select("model", "done", (F.col("total") - F.col("done")).alias("remaining"), (F.col("done") / F.col("total")).alias("share"))
 
 
-@query("agg_23_composition", "SELECT task, questions::BIGINT AS questions, ablations::BIGINT AS ablations, total::BIGINT AS total, exact FROM (VALUES ('species', 160, 32, 192, true), ('density', 100, NULL, 100, true), ('open', NULL, NULL, NULL, false)) t(task, questions, ablations, total, exact)")
-def _(v):
-    quotas = v.spark.createDataFrame([("species", 8, 10, 2, 0.2), ("density", 4, 25, 1, None), ("open", None, 10, 1, None)], "task string, classes long, quota long, variants long, ablated_share double")
-    return agg.composition(quotas)
+@query("agg_23_composition", """WITH c AS (SELECT task, expected_answer, annotated, count(*) AS n FROM questions GROUP BY ALL), q AS (SELECT task, count(DISTINCT expected_answer) AS classes, CASE WHEN task <> 'grounded' THEN min(n) END AS quota, count(DISTINCT annotated) AS variants FROM c GROUP BY task),
+n AS (SELECT task, classes * quota * variants AS questions FROM q), a AS (SELECT task, questions, CASE WHEN task = 'species' THEN round_even(questions * 0.2, 0)::BIGINT END AS ablations FROM n)
+SELECT task, questions, ablations, questions + coalesce(ablations, 0) AS total, questions IS NOT NULL AS exact FROM a""")
+def _(v):
+    """What a benchmark would hold that takes as many of each class as the scarcest has; one task's quota is left open."""
+    counts = v.questions.groupBy("task", "expected_answer", "annotated").agg(F.count("*").alias("n"))
+    quotas = counts.groupBy("task").agg(F.count_distinct("expected_answer").alias("classes"), F.min("n").alias("least"), F.count_distinct("annotated").alias("variants"))
+    return agg.composition(quotas.select("task", "classes", F.when(F.col("task") != "grounded", F.col("least")).alias("quota"), "variants", F.when(F.col("task") == "species", 0.2).alias("ablated_share")))
 
 
 @query("agg_24_judge_means", f"SELECT task, {r('avg((interpretation1 + interpretation2) / 2)', 'interpretation')}, {r('avg((visual1 + visual2) / 2)', 'visual')}, {r('(avg((interpretation1 + interpretation2) / 2) + avg((visual1 + visual2) / 2)) / 2', 'overall')} FROM judges GROUP BY task")

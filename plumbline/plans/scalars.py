@@ -175,7 +175,7 @@ def _(v):
     return flagged(v).select("response_id", *[F.array_join(c, "+").alias(c) for c in ("flags1", "flags2")])
 
 
-@query("cas_08_failure_kind", "SELECT id, CASE WHEN s IN (408, 409, 425, 429) OR s >= 500 THEN 'transient' WHEN s IN (401, 402, 403) THEN 'fatal' ELSE 'request' END AS kind FROM (SELECT id, 400 + id % 130 AS s FROM responses)")
+@query("cas_08_failure_kind", "SELECT id, CASE WHEN s IN (401, 402) THEN 'fatal' WHEN s = 408 OR s = 429 OR s > 499 THEN 'transient' ELSE 'request' END AS kind FROM (SELECT id, 400 + id % 130 AS s FROM responses)")
 def _(v):
     return v.responses.select("id", cas.failure_kind(400 + F.col("id") % 130).alias("kind"))
 
@@ -207,9 +207,9 @@ def _(v):
 # -- strings and JSON
 
 
-@query("str_01_species", r"SELECT p_partkey, r AS role, n AS name, nullif(q, '') AS qualifier FROM (SELECT p_partkey, regexp_extract(c, '^(crop|weed):\s*(.+?)(?:\s*\(([^()]*)\))?$', 1) AS r, regexp_extract(c, '^(crop|weed):\s*(.+?)(?:\s*\(([^()]*)\))?$', 2) AS n, regexp_extract(c, '^(crop|weed):\s*(.+?)(?:\s*\(([^()]*)\))?$', 3) AS q FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'weed: ' || p_type || ' (' || p_brand || ')' WHEN 1 THEN ' crop:  ' || p_name ELSE 'other' END AS c0, trim(c0) AS c FROM part)) WHERE r <> ''")
+@query("str_01_species", r"SELECT p_partkey, r AS role, trim(n) AS name, nullif(q, '') AS qualifier FROM (SELECT p_partkey, regexp_extract(c, '^(crop|weed):\s*([^(]+?)\s*(?:\(([^)]+)\))?$', 1) AS r, regexp_extract(c, '^(crop|weed):\s*([^(]+?)\s*(?:\(([^)]+)\))?$', 2) AS n, regexp_extract(c, '^(crop|weed):\s*([^(]+?)\s*(?:\(([^)]+)\))?$', 3) AS q FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'weed: ' || p_type || ' (' || p_brand || ')' WHEN 1 THEN ' crop:  ' || p_name WHEN 2 THEN 'weed: ' || p_type || ' (a) ' || p_brand WHEN 3 THEN 'weed: ' || p_type || ' ()' ELSE 'other' END AS c0, trim(c0) AS c FROM part)) WHERE r <> ''")
 def _(v):
-    c = F.expr("CASE p_size % 3 WHEN 0 THEN 'weed: ' || p_type || ' (' || p_brand || ')' WHEN 1 THEN ' crop:  ' || p_name ELSE 'other' END")
+    c = F.expr("CASE p_size % 5 WHEN 0 THEN 'weed: ' || p_type || ' (' || p_brand || ')' WHEN 1 THEN ' crop:  ' || p_name WHEN 2 THEN 'weed: ' || p_type || ' (a) ' || p_brand WHEN 3 THEN 'weed: ' || p_type || ' ()' ELSE 'other' END")
     return v.part.select("p_partkey", text.species(c).alias("s")).where("s is not null").select("p_partkey", "s.role", "s.name", "s.qualifier")
 
 
@@ -218,7 +218,7 @@ def _(v):
     return v.documents.select("doc_id", text.display_name(F.col("text")).alias("name"))
 
 
-@query("str_03_light", r"""SELECT conv_id, turn, lower(regexp_replace(trim(trim(trim(text, E' \n\t\r'), '"''`.'), E' \n\t\r'), '\s+', ' ', 'g')) AS light FROM conversations""")
+@query("str_03_light", r"""SELECT conv_id, turn, replace(lower(regexp_replace(trim(trim(trim(text, E' \n\t\r'), '"''`.'), E' \n\t\r'), '\s+', ' ', 'g')), 'ß', 'ss') AS light FROM conversations""")
 def _(v):
     return v.conversations.select("conv_id", "turn", text.light(F.col("text")).alias("light"))
 
@@ -235,10 +235,10 @@ def _(v):
     return v.pages.select("page_id", text.extract(F.col("html"), "<title>([^<]*)</title>").alias("title"), text.extract(F.col("url"), r"page=(\d+)").alias("page"))
 
 
-@query("str_06_box_label", "SELECT event_id, (event_id % 40)::VARCHAR AS label FROM events")
+@query("str_06_box_label", "SELECT event_id, CASE event_id % 5 WHEN 3 THEN event_id % 40 || '.5' WHEN 4 THEN lower(event_type) || ' ' || event_id % 40 || ' of 5' ELSE (event_id % 40)::VARCHAR END AS label FROM events")
 def _(v):
-    n, k = (F.col("event_id") % 40).cast("string"), F.col("event_id") % 3
-    return v.events.select("event_id", text.box_label(F.when(k == 0, F.concat(F.lit("Box "), n)).when(k == 1, F.concat(F.lit("#"), n)).otherwise(F.concat(n, F.lit(".0")))).alias("label"))
+    reply = F.expr("CASE event_id % 5 WHEN 0 THEN ' Box ' || event_id % 40 || '.' WHEN 1 THEN '\"# ' || event_id % 40 || '\"' WHEN 2 THEN event_id % 40 || '.0' WHEN 3 THEN event_id % 40 || '.5' ELSE upper(event_type) || '  ' || event_id % 40 || ' of 5' END")
+    return v.events.select("event_id", text.box_label(reply).alias("label"))
 
 
 @query("str_07_tidy_message", r"SELECT id, trim(regexp_replace(regexp_replace(error_message, '\s*\(retry in [^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS message FROM responses WHERE error_message IS NOT NULL")
@@ -410,9 +410,9 @@ def _(v):
     return v.annotations.select("image_id", "ord", px[0].alias("p")).select("image_id", "ord", "p.*")
 
 
-@query("geo_14_render_numbers", f"SELECT image_id, ord::BIGINT AS ord, {r('greatest(least(x, width - 20.0), 0)', 'tag_x')}, {r('CASE WHEN y >= 12 THEN y - 12 ELSE y END', 'tag_y')}, greatest(round_even(least(width, height) * 0.004, 0)::BIGINT, 2) AS line FROM annotations")
+@query("geo_14_render_numbers", f"SELECT image_id, ord::BIGINT AS ord, {r('greatest(least(x, width - 20.0), 0)', 'tag_x')}, {r('CASE WHEN y - 12 >= 0 THEN y - 12 WHEN y + h + 12 <= height THEN y + h ELSE greatest(y, 0) END', 'tag_y')}, greatest(least(width, height) // 200, 3)::BIGINT AS line FROM annotations")
 def _(v):
-    t = geo.tag_position(F.struct("x", "y", "w", "h"), F.lit(20.0), F.lit(12.0), F.col("width"))
+    t = geo.tag_position(F.struct("x", "y", "w", "h"), F.lit(20.0), F.lit(12.0), F.col("width"), F.col("height"))
     return v.annotations.select("image_id", "ord", t["x"].alias("tag_x"), t["y"].alias("tag_y"), geo.line_width(F.col("width"), F.col("height")).alias("line"))
 
 

@@ -8,7 +8,7 @@ from plumbline.functions import jsonx
 from plumbline.functions.hashing import draw_key
 from plumbline.functions.stats import joint_failures
 from plumbline.operators import aggregates as agg
-from plumbline.operators import checks, fitting, generate, scoring, selection, statistics, windows
+from plumbline.operators import checks, fitting, generate, ranges, scoring, selection, statistics, windows
 from plumbline.operators import classify as cas
 from plumbline.plans.registry import query
 from plumbline.plans.relational import FLAGGED, LATEST, MODELS, flagged, latest, r, wilson_sql
@@ -36,22 +36,32 @@ def _(v):
     return statistics.wilson_table(v.scored, ["model", "task"], F.col("correct"))
 
 
-@query("stat_03_bootstrap_clusters")
+def replicates_sql(clusters: str, n_boot: int, alpha: float = 0.05) -> str:
+    """n, estimate, lo and hi by model over clusters (model, code, o, u), in the hash arithmetic of the operator."""
+    weight = " + ".join(f"(xor(y, y >> 16) / 4294967296.0E0 >= {c!r}E0)::INT" for c in statistics.POISSON)
+    return f"""WITH c AS ({clusters}), b AS (SELECT unnest(range(1, {n_boot + 1})) AS b),
+    x0 AS (SELECT model, o, u, b, xor(code, (b * {0x9E3779B1} + {statistics.SEED}) & 4294967295) AS x FROM c, b), x1 AS (SELECT model, o, u, b, (xor(x, x >> 16) * {0x45D9F3B}) & 4294967295 AS x FROM x0),
+    y AS (SELECT model, o, u, b, (xor(x, x >> 16) * {0x45D9F3B}) & 4294967295 AS y FROM x1), w AS (SELECT model, o, u, b, {weight} AS w FROM y),
+    q AS (SELECT model, b, sum(w * o) / nullif(sum(w * u), 0) AS q FROM w GROUP BY model, b), e AS (SELECT model, count(*) AS n, sum(o) / sum(u) AS estimate FROM c GROUP BY model)
+    SELECT model, e.n, {r('e.estimate', 'estimate')}, {r(f'quantile_cont(q, {alpha / 2})', 'lo')}, {r(f'quantile_cont(q, {1 - alpha / 2})', 'hi')} FROM q JOIN e USING (model) GROUP BY model, e.n, e.estimate"""
+
+
+@query("stat_03_bootstrap_clusters", replicates_sql("SELECT model, question_id AS code, sum(correct::INT)::DOUBLE AS o, count(correct)::DOUBLE AS u FROM scored WHERE status = 'ok' GROUP BY model, question_id", 200))
 def _(v):
-    """Any statistic of a group, resampled over questions."""
-    rows = v.scored.where("status = 'ok'").select("model", "question_id", "id", F.col("correct").cast("double").alias("c"))
-    return statistics.bootstrap_by(rows, ["model"], _mean_c, ["id"], "question_id", n_boot=100)
+    """Accuracy, resampled over questions with all their responses."""
+    rows = v.scored.where("status = 'ok'")
+    return statistics.bootstrap_ratio(rows, ["model"], F.col("correct").cast("int"), F.col("correct").isNotNull().cast("int"), ["question_id"], n_boot=200)
 
 
 def _mean_c(part):
     return part["c"].mean()
 
 
-@query("stat_04_bootstrap_means")
+@query("stat_04_bootstrap_means", replicates_sql("SELECT model, id AS code, correct::INT::DOUBLE AS o, 1.0E0 AS u FROM scored WHERE status = 'ok' AND correct IS NOT NULL", 200))
 def _(v):
-    """The same for means, with Poisson weights and no group in one task."""
+    """The same for means over responses."""
     rows = v.scored.where("status = 'ok'").withColumn("c", F.col("correct").cast("double"))
-    return statistics.bootstrap_mean(rows, ["model"], "c", ["id"], n_boot=100)
+    return statistics.bootstrap_mean(rows, ["model"], "c", ["id"], n_boot=200)
 
 
 ESTIMATES = f"SELECT model, count(*) AS n, {r('avg(correct::INT)', 'estimate')}, true AS inside FROM scored WHERE status = 'ok' GROUP BY model"
@@ -84,8 +94,7 @@ def _(v):
 
 @query("stat_06_quantiles", f"SELECT model, {r('quantile_cont(latency, 0.025)', 'lo')}, {r('quantile_cont(latency, 0.5)', 'mid')}, {r('quantile_cont(latency, 0.975)', 'hi')} FROM responses GROUP BY model")
 def _(v):
-    q = F.percentile("latency", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return v.responses.groupBy("model").agg(q.alias("q")).select("model", *[F.col("q")[k].alias(n) for k, n in enumerate(("lo", "mid", "hi"))])
+    return ranges.group_quantiles(v.responses, ["model"], F.col("latency"), [0.025, 0.5, 0.975], ["lo", "mid", "hi"])
 
 
 def kappa_sql(gap: str, by: str = "task") -> str:
@@ -308,21 +317,24 @@ def _(v):
 WEED_AREA = CELL_AREA.replace("FROM annotations", "FROM weeds")
 
 
-@query("gen_05_density", f"""WITH weeds AS (SELECT * FROM annotations WHERE role = 'weed'), f AS (SELECT i.dataset, i.image_id, count(a.ord) AS n, coalesce(any_value(u.area), 0) / (i.width * i.height) AS c FROM images i LEFT JOIN weeds a ON a.image_id = i.image_id LEFT JOIN {WEED_AREA} u ON u.image_id = i.image_id WHERE i.width * i.height > 0 GROUP BY i.dataset, i.image_id, i.width, i.height)
-SELECT dataset || ':' || image_id || ':density:' || k AS id, CASE WHEN n = 0 THEN 'none' WHEN {SCORE} >= 0.6 AND n >= 5 THEN 'high' WHEN {SCORE} >= 0.3 AND n >= 2 THEN 'medium' ELSE 'low' END AS benchmark_class, n AS true_count, {r('c', 'true_coverage')} FROM f, (SELECT unnest(['boxed', 'unannotated']) AS k)""")
+DENSITY_SQL = f"""WITH weeds AS (SELECT * FROM annotations WHERE role = 'weed'), f AS (SELECT i.dataset, i.image_id, count(a.ord) AS n, coalesce(any_value(u.area), 0) / (i.width * i.height) AS c FROM images i LEFT JOIN weeds a ON a.image_id = i.image_id LEFT JOIN {WEED_AREA} u ON u.image_id = i.image_id WHERE i.width * i.height > 0 GROUP BY i.dataset, i.image_id, i.width, i.height)
+SELECT dataset || ':' || image_id || ':density:' || k AS id, CASE WHEN n = 0 THEN 'none' WHEN {SCORE} >= 0.6 AND n >= 5 THEN 'high' WHEN {SCORE} >= 0.3 AND n >= 2 THEN 'medium' ELSE 'low' END AS benchmark_class, n AS true_count, {r('c', 'true_coverage')} FROM f, (SELECT unnest(['boxed', 'unannotated']) AS k)"""
+
+
+@query("gen_05_density", DENSITY_SQL)
 def _(v):
     return generate.density_questions(v.images, v.annotations).select("id", "benchmark_class", "true_count", "true_coverage")
 
 
-@query(
-    "gen_06_grounded",
-    f"""WITH u AS (SELECT * FROM {CELL_AREA}), g AS (SELECT image_id FROM annotations JOIN u USING (image_id) WHERE width * height > 0 GROUP BY image_id, width, height
+GROUNDED_SQL = f"""WITH u AS (SELECT * FROM {CELL_AREA}), g AS (SELECT image_id FROM annotations JOIN u USING (image_id) WHERE width * height > 0 GROUP BY image_id, width, height
     HAVING any_value(area) / (width * height) >= 0.05 AND count(DISTINCT species) FILTER (WHERE role = 'weed') >= 1
     AND sqrt(power((sum((x + w / 2) * w * h) / sum(w * h) - width / 2.0) / (width / 2.0), 2) + power((sum((y + h / 2) * w * h) / sum(w * h) - height / 2.0) / (height / 2.0), 2)) / sqrt(2.0) <= 0.7),
     n AS (SELECT dataset, image_id, species, bool_or(role = 'weed') AS target, count(*) AS n_boxes FROM annotations JOIN g USING (image_id) GROUP BY dataset, image_id, species),
     m AS (SELECT *, dense_rank() OVER (PARTITION BY dataset, image_id ORDER BY md5('0:' || image_id || ':' || species), species) AS number FROM n)
-    SELECT dataset || ':' || image_id || ':' || species || ':grounded' AS id, dataset, image_id, species, number, n_boxes FROM m WHERE target""",
-)
+    SELECT dataset || ':' || image_id || ':' || species || ':grounded' AS id, dataset, image_id, species, number, n_boxes FROM m WHERE target"""
+
+
+@query("gen_06_grounded", GROUNDED_SQL)
 def _(v):
     return generate.grounded_questions(v.annotations)
 
@@ -394,6 +406,32 @@ def _(v):
     return agg.accuracy_block(rows, ["model", "suite"], F.col("status") == "ok", F.col("outcome")).select("model", "suite", F.col("n_total").alias("n"), "accuracy")
 
 
+def labelled_counts(v):
+    """Images with their number of annotations, what these cover, and a class that a planted rule gives."""
+    g = v.annotations.groupBy("image_id").agg(F.count("*").alias("count"), (F.sum(F.col("w") * F.col("h")) / 480000).alias("coverage"))
+    return g.withColumns({"typical_size": F.lit(0.0), "spread": F.lit(0.0), "label": F.when(F.col("count") >= 6, 3).when(F.col("count") >= 3, 2).otherwise(1)})
+
+
+@query("fit_01_refit", f"SELECT count(*) AS n, sum(abs((CASE WHEN {SCORE} >= 0.6 AND n >= 5 THEN 3 WHEN {SCORE} >= 0.3 AND n >= 2 THEN 2 ELSE 1 END) - (CASE WHEN n >= 6 THEN 3 WHEN n >= 3 THEN 2 ELSE 1 END)))::BIGINT AS before, true AS better FROM {COUNTED}")
+def _(v):
+    """The loss of the rule in use on all images, and that a refitted rule at least halves it."""
+    from plumbline.functions.density import ScoreRule, density_level
+
+    rows = labelled_counts(v)
+    refit = fitting.fit_rule(rows, "label", ScoreRule(), steps=8, rounds=2)
+    off = lambda rule: F.sum(F.abs(density_level(F.col("count"), F.col("coverage"), rule) - F.col("label")))
+    return rows.agg(F.count("*").alias("n"), off(ScoreRule()).alias("before"), off(refit).alias("after")).select("n", "before", (2 * F.col("after") <= F.col("before")).alias("better"))
+
+
+@query("fit_03_cross_validation", f"SELECT rule, fold, count(*) AS n, true AS good FROM (SELECT image_id, (({rank('', 'image_id', 0)} - 1) % 5)::BIGINT AS fold FROM (SELECT DISTINCT image_id FROM annotations)), (SELECT unnest(['refit', 'tree']) AS rule) GROUP BY rule, fold")
+def _(v):
+    """Five folds side by side: a tree finds the planted rule on every fold that it has not seen, a refitted rule comes near it."""
+    from plumbline.functions.density import ScoreRule
+
+    got = fitting.cross_validated(labelled_counts(v), "label", ["image_id"], ScoreRule(), steps=6, rounds=1)
+    return got.select("rule", "fold", "n", (F.col("mean_error") <= F.when(F.col("rule") == "tree", 0.0).otherwise(0.25)).alias("good"))
+
+
 @query("chk_01_integrity", "SELECT 'duplicate' AS problem, question_id AS key FROM responses WHERE model = 'm1' GROUP BY question_id HAVING count(*) > 1 UNION ALL SELECT 'dangling', question_id FROM questions WHERE ablation_of IS NOT NULL AND ablation_of + 396 NOT IN (SELECT question_id FROM questions)")
 def _(v):
     twice = checks.duplicates(v.responses.where("model = 'm1'"), ["question_id"]).select(F.lit("duplicate").alias("problem"), F.col("question_id").alias("key"))
@@ -430,19 +468,29 @@ def _(v):
     return v.events.select("event_id", *[F.get(p, k).alias(f"p{k}") for k in range(3)])
 
 
-@query("src_25_fixture")
+def digit(k: int, top: int, key: str) -> str:
+    return f"('0x' || substr(md5('5:{k}:' || {key}), 1, 6))::BIGINT % {top}"
+
+
+@query("src_25_fixture", f"""WITH c AS (SELECT image_id, category, unnest(range(0, 1 + {digit(0, 2, "image_id || ':' || category")})) AS ord FROM (SELECT image_id, unnest([0, 1, 2]) AS category FROM images))
+SELECT image_id, 'species ' || category AS species, ord::BIGINT AS ord, {', '.join(f'({digit(k, top, "image_id || chr(58) || category || chr(58) || ord")} + {more})::DOUBLE AS {n}' for k, top, more, n in ((1, 200, 0, 'x'), (2, 150, 0, 'y'), (3, 90, 20, 'w'), (4, 60, 20, 'h')))} FROM c""")
 def _(v):
+    """Made-up annotations of all images."""
     from plumbline.sources.tables import fixture
 
-    return fixture(v.spark)
+    return fixture(v.images, seed=5).select("image_id", "species", "ord", "x", "y", "w", "h")
 
 
-@query("src_20_page_metadata", "SELECT page_id, trim(regexp_extract(html, '<title>([^<&]*)</title>', 1)) AS title FROM pages WHERE html NOT LIKE '%<title>%&%</title>%' AND html LIKE '%<title>%</title>%'")
+@query("src_20_page_metadata", """SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title, '{"url": "' || url || '"}' AS ld, [[page_id::VARCHAR, 'a & b', '', 'x']] AS rows, length(html) AS size FROM pages""")
 def _(v):
+    """Every page with some JSON-LD, a table and a card of its own put behind it."""
     from plumbline.sources.tables import page_metadata
 
-    plain = v.pages.where("html not like '%<title>%&%</title>%' and html like '%<title>%</title>%'")
-    return page_metadata(plain, "html", "page_id").select("page_id", "title")
+    ld = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct("url")), F.lit("</script>"))
+    table = F.concat(F.lit("<table><tr><td>too</td><td>few</td></tr><tr><td>"), "page_id", F.lit("</td><td> a &amp; b</td><td></td><td><i>x</i></td></tr></table>"))
+    card = F.concat(F.lit("<dl><dt>size</dt><dd>"), F.length("html"), F.lit("</dd></dl>"))
+    found = page_metadata(v.pages.withColumn("html", F.concat("html", ld, table, card)), "html", "page_id")
+    return found.select("page_id", "title", "ld", "rows", F.col("cards")["size"].cast("long").alias("size"))
 
 
 @query("draw_01_key", "SELECT question_id, md5('1:' || question_id) AS k FROM questions")

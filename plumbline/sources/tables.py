@@ -7,7 +7,6 @@ import json
 import os
 import sqlite3
 from collections.abc import Callable, Iterator, Sequence
-from html.parser import HTMLParser
 from typing import Any
 
 import pandas as pd
@@ -16,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from plumbline.functions.hashing import draw_key
 from plumbline.operators.classify import failure_kind
 from plumbline.schemas import QUESTIONS
+from plumbline.sources.pages import metadata
+from plumbline.sources.versions import folders
 
 
 def questions(spark: SparkSession, path: str, tasks: Sequence[str] | None = None) -> DataFrame:
     """The question table, of some tasks, in order of task and position."""
-    out = spark.read.schema(QUESTIONS).parquet(path)
+    out = spark.read.schema(QUESTIONS).parquet(*folders(spark, path))
     return (out.where(F.col("task").isin(list(tasks))) if tasks is not None else out).orderBy("task", "position")
 
 
@@ -81,54 +83,6 @@ def sqlite(spark: SparkSession, path: str, query: str, ddl: str) -> DataFrame:
     return spark.read.format("sqlite").options(path=path, query=query, ddl=ddl).load()
 
 
-class _Page(HTMLParser):
-    """Title, JSON-LD, four-column tables and cards (dt/dd) of a page."""
-
-    def __init__(self):
-        super().__init__()
-        self.title, self.ld, self.rows, self.cards, self.path, self.row, self.term = "", [], [], {}, [], None, ""
-
-    def handle_starttag(self, tag, attrs):
-        self.path.append((tag, dict(attrs)))
-        if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.row.append("")
-        elif tag == "dt":
-            self.term = ""
-        elif tag == "dd":
-            self.cards.setdefault(self.term.strip(), "")
-
-    def handle_endtag(self, tag):
-        while self.path:
-            if self.path.pop()[0] == tag:
-                break
-        if tag == "tr" and self.row is not None:
-            if len(self.row) == 4:
-                self.rows.append([c.strip() for c in self.row])
-            self.row = None
-
-    def handle_data(self, data):
-        tags = [t for t, _ in self.path]
-        if tags and tags[-1] == "title" and not self.title:
-            self.title = data.strip()
-        elif tags and tags[-1] == "script" and self.path[-1][1].get("type") == "application/ld+json":
-            self.ld.append(data)
-        elif "dt" in tags:
-            self.term += data
-        elif "dd" in tags:
-            self.cards[self.term.strip()] = self.cards.get(self.term.strip(), "") + data
-        elif self.row and ("td" in tags or "th" in tags):
-            self.row[-1] += data
-
-
-def _page(html: str) -> dict:
-    page = _Page()
-    page.feed(html)
-    ld = next((json.loads(x) for x in page.ld if x.strip()), None)
-    return {"title": page.title, "ld": json.dumps(ld) if ld is not None else None, "rows": page.rows, "cards": {k: v.strip() for k, v in page.cards.items()}, "error": None}
-
-
 def page_metadata(df: DataFrame, html: str, key: str) -> DataFrame:
     """key, title, ld (JSON), rows, cards and error of each page; a page that cannot be read says why."""
 
@@ -137,7 +91,7 @@ def page_metadata(df: DataFrame, html: str, key: str) -> DataFrame:
             out = []
             for k, text in zip(part[key], part[html], strict=True):
                 try:
-                    out.append({key: k} | _page(text or ""))
+                    out.append({key: k} | metadata(text or ""))
                 except Exception as e:  # the row keeps the error
                     out.append({key: k, "title": None, "ld": None, "rows": None, "cards": None, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=[key, "title", "ld", "rows", "cards", "error"])
@@ -195,9 +149,14 @@ def dataset_folders(folder: str, name: str) -> list[str]:
     return sorted(glob.glob(os.path.join(folder, "*", name)))
 
 
-def fixture(spark: SparkSession, images: int = 8, categories: int = 3, seed: int = 0) -> DataFrame:
-    """A synthetic annotation table: one or two boxes for each image and category."""
-    grid = spark.range(images).withColumnRenamed("id", "image_id").withColumn("category", F.explode(F.sequence(F.lit(0), F.lit(categories - 1))))
-    each = grid.withColumn("ord", F.explode(F.sequence(F.lit(0), (F.xxhash64(F.lit(seed), "image_id", "category") % 2 != 0).cast("int"))))
-    u = lambda k, top: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "image_id", "category", "ord"), F.lit(top))).cast("double")
-    return each.select(F.lit("synthetic").alias("dataset"), "image_id", F.lit(320).alias("width"), F.lit(240).alias("height"), F.concat(F.lit("species "), "category").alias("species"), F.lit("weed").alias("role"), "ord", u(1, 200).alias("x"), u(2, 150).alias("y"), (u(3, 90) + 20).alias("w"), (u(4, 60) + 20).alias("h"))
+def fixture(images: DataFrame, categories: int = 3, seed: int = 0) -> DataFrame:
+    """Synthetic annotations of given images (image_id, width, height): one or two boxes for each image and category, drawn
+    from digests of the seed and the box's own key."""
+    digit = lambda k, top, *key: F.conv(F.substring(draw_key(seed, F.lit(k), *key), 1, 6), 16, 10).cast("long") % top
+    each = images.select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(categories - 1))).alias("category"))
+    each = each.withColumn("ord", F.explode(F.sequence(F.lit(0), digit(0, 2, F.col("image_id"), F.col("category")).cast("int"))))
+    u = lambda k, top: digit(k, top, F.col("image_id"), F.col("category"), F.col("ord")).cast("double")
+    return each.select(
+        F.lit("synthetic").alias("dataset"), "image_id", "width", "height", F.concat(F.lit("species "), "category").alias("species"), F.lit("weed").alias("role"), "ord",
+        u(1, 200).alias("x"), u(2, 150).alias("y"), (u(3, 90) + 20).alias("w"), (u(4, 60) + 20).alias("h"),
+    )

@@ -32,6 +32,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_logs(lines: DataFrame, by: str) -> str:
+    """``lines`` (by, value) as text files in the order of their partitions, a folder per value of ``by``; where they are."""
+    path = f"{shared_folder(lines)}/plumbline/{uuid.uuid4().hex}"
+    lines.write.partitionBy(by).text(path)
+    return path
+
+
 def written_text(lines: DataFrame) -> DataFrame:
     """``lines`` (value) as text files, read back."""
     path = f"{shared_folder(lines)}/plumbline/{uuid.uuid4().hex}"

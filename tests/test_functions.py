@@ -10,7 +10,7 @@ from plumbline.functions import boxes as bx
 from plumbline.functions import density as den
 from plumbline.functions import geometry as geo
 from plumbline.functions import jsonx, stats, text
-from plumbline.operators import fitting
+from plumbline.operators import fitting, selection
 
 BOX = "array<struct<x: double, y: double, w: double, h: double>>"
 QUIET = dict(deadline=None, suppress_health_check=list(HealthCheck))
@@ -136,9 +136,66 @@ def test_names(spark):
     assert one(spark, text.display_name(F.lit("éa Bc"))) == "Éa Bc"
 
 
+def pairs(spark, make, cases):
+    """make(column) of each text, beside what it should be."""
+    assert column(spark, make(F.col("t")), "t", "string", [t for t, _ in cases]) == [w for _, w in cases]
+
+
+def test_categories_as_they_are_named(spark):
+    parts = lambda c: F.to_json(text.species(c))
+    good = {"weed: bassia scoparia": ("weed", "bassia scoparia", None), "crop: maize (four-leaf stage)": ("crop", "maize", "four-leaf stage"), " weed:hedge mustard (80) ": ("weed", "hedge mustard", "80")}
+    pairs(spark, parts, [(t, json.dumps({k: v for k, v in zip(("role", "name", "qualifier"), w) if v}, separators=(",", ":"))) for t, w in good.items()])
+    pairs(spark, parts, [("weed: a (b) c", None), ("weed: x ()", None), ("Weed: x", None), ("weed:", None), ("weed: a (b", None)])
+
+
+def test_box_labels(spark):
+    same = [("2", "2"), ("Box 2", "2"), ("#2", "2"), ("2.0", "2"), ("Bounding  box #12.", "12"), ('"label 3"', "3"), ("number 4.00", "4"), ("NUMBER5", "5")]
+    pairs(spark, text.box_label, [*same, ("2.5", "2.5"), ("weed 3 of 5", "weed 3 of 5"), (" The  Second ", "the second"), (None, None)])
+
+
+def test_light_text(spark):
+    pairs(spark, text.light, [("  'A\u00a0 B.' ", "a b"), ("\u2003Straße`", "strasse"), ("ΛΌΓΟΣ", "λόγοσ"), ("...", ""), (None, None)])
+
+
+def test_failure_classes(spark):
+    from plumbline.operators.classify import failure_kind
+
+    want = {401: "fatal", 402: "fatal", 403: "request", 404: "request", 408: "transient", 409: "request", 425: "request", 429: "transient", 500: "transient", 503: "transient", 400: "request"}
+    assert column(spark, failure_kind(F.col("s")), "s", "int", list(want)) == list(want.values())
+
+
+def test_reply_contents(spark):
+    body = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
+    texts = ["hi", "", "[[1,2,3,4]]", '[{"box_2d":[1,2,3,4]}]', "[unclosed", '{"a": 1}', "12"]
+    pairs(spark, jsonx.content, [(body(t), t) for t in texts])
+    parts = [{"type": "text", "text": "a"}, {"type": "image"}, "loose", {"text": "b"}]
+    pairs(spark, jsonx.content, [(body(parts), "ab"), (body([]), ""), (body(None), ""), (body({"text": "x"}), ""), (json.dumps({"error": {"message": "no"}}), None), ("torn {", None), (None, None)])
+
+
+def test_render_numbers(spark):
+    box = "struct<x: double, y: double, w: double, h: double>"
+    place = geo.tag_position(F.col("b"), F.lit(20.0), F.lit(12.0), F.lit(100), F.lit(200))
+    cases = {(5.0, 50.0, 10.0, 10.0): (5, 38), (5.0, 3.0, 10.0, 10.0): (5, 13), (5.0, 3.0, 10.0, 195.0): (5, 3), (95.0, 12.0, 3.0, 3.0): (80, 0), (-4.0, -2.0, 10.0, 200.0): (0, 0)}
+    assert [tuple(g) for g in column(spark, place, "b", box, list(cases))] == list(cases.values())
+    sizes = {(100, 5000): 3, (800, 600): 3, (1200, 1000): 5, (4000, 3999): 19}
+    assert column(spark, geo.line_width(F.col("s.w"), F.col("s.h")), "s", "struct<w: int, h: int>", list(sizes)) == list(sizes.values())
+
+
+def test_union_area_of_a_crowded_scene(spark):
+    """5,000 boxes against a grid of pixels."""
+    import numpy as np
+
+    rng = random.Random(3)
+    boxes = [(float(rng.randrange(2000)), float(rng.randrange(1500)), float(rng.randrange(1, 60)), float(rng.randrange(1, 60))) for _ in range(5000)]
+    grid = np.zeros((1600, 2100), bool)
+    for x, y, w, h in boxes:
+        grid[int(y) : int(y + h), int(x) : int(x + w)] = True
+    assert column(spark, geo.union_area(F.col("b")), "b", BOX, [boxes]) == [grid.sum()]
+
+
 OBJECTS = [
     ('{"a": 1}', {"a": 1}), ('```json\n{"a": 1}\n```', {"a": 1}), ('Sure: {"a": {"b": 2}} and {"c": 3}', {"a": {"b": 2}}), ('[1, 2] {"a": 1}', {"a": 1}), ('{"a": ', None), ("none", None), (None, None),
-    ('{bad} {"a": "}"}', {"a": "}"}), ('[{"a": 1}]', {"a": 1}),
+    ('{bad} {"a": "}"}', {"a": "}"}), ('[{"a": 1}]', {"a": 1}), ('say "{" then { "a" : "{\\"b\\"}" } {"c": 1}', {"a": '{"b"}'}), ("{{}} x", {}), ('{"a": 1, } {"b": [{"c": "}"}]}', {"b": [{"c": "}"}]}),
 ]
 
 
@@ -215,6 +272,35 @@ def test_tree_equals_a_plain_search(spark):
     assert sizes(guess) == 150
 
 
+def test_folds_side_by_side_equal_folds_one_by_one(spark):
+    df = selection.folds(labelled(spark, 90).withColumn("coverage", F.when(F.col("id") % 11 != 0, F.col("coverage"))), ["id"], 3).cache()
+    start = den.ScoreRule()
+    rules, trees = fitting.fit_rules(df, "label", start, 3, steps=6, rounds=1), fitting.fit_trees(df, "label", 3, depth=2)
+    for i in range(3):
+        train = df.where(F.col("fold") != i).drop("fold")
+        assert rules[i] == fitting.fit_rule(train, "label", start, steps=6, rounds=1) and trees[i] == fitting.fit_tree(train, "label", depth=2)
+    df.unpersist()
+
+
+def test_jobs_do_not_grow_with_the_folds(spark):
+    sc, df = spark.sparkContext, labelled(spark, 60)
+    jobs = []
+    for k in (2, 5):
+        sc.setJobGroup(f"folds{k}", "")
+        got = fitting.cross_validate(df, "label", ["id"], den.ScoreRule(), k, steps=4, rounds=1)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"folds{k}")))
+        assert [(r, f) for r, f, _ in got] == [(r, f) for r in ("refit", "tree") for f in range(k)]
+    sc.setJobGroup("rest", "")
+    assert abs(jobs[0] - jobs[1]) <= 4
+
+
+def test_a_missing_feature_lies_above_every_cut(spark):
+    rows = [(k, None if k % 2 else float(k), 3 if k % 2 or k >= 20 else 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "id int, coverage double, label int")
+    tree = fitting.fit_tree(df, "label", depth=1, least=1, features=("coverage",))
+    assert tree["threshold"] == 20.0 and fitting.measure(df, "label", den.tree_column(tree)).first().exact == 1.0
+
+
 def test_tree_of_nothing(spark):
     empty = spark.createDataFrame([], "count long, coverage double, typical_size double, spread double, label int")
     assert fitting.fit_tree(empty, "label") == {"label": 0, "counts": [0, 0, 0, 0]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.schemas import JUDGEMENT, QUESTIONS, RESPONSE_RECORD
 from plumbline.sources import annotations, logs, sinks, tables
 from plumbline.streaming import log as stream
+from plumbline.streaming.state import KeyedState
 
 DOCUMENT = {
     "images": [{"id": 1, "file_name": "a.jpg", "width": 320, "height": 240, "agcontext_id": 0, "license": None}, {"id": 2, "file_name": "b.jpg", "width": 320, "height": 240, "agcontext_id": 0}],
@@ -76,8 +77,8 @@ def test_question_tables(spark, tmp_path):
     assert got.columns == [c.split()[0] for c in QUESTIONS.replace("\n", " ").split(", ")]
     assert [(r.id, r.position, r.image_sha256) for r in got.collect()] == [("b", 0, "s1"), ("a", 1, "s1")]
     assert tables.image_hashes(tables.questions(spark, path)).count() == 2
-    sinks.replace_table(spark.read.parquet(path).where("task = 't2'"), path)
-    assert spark.read.parquet(path).count() == 1 and len(os.listdir(tmp_path)) == 1
+    sinks.replace_table(sinks.read_table(spark, path).where("task = 't2'"), path)
+    assert tables.questions(spark, path).count() == 1 and len(os.listdir(tmp_path)) == 1
 
 
 def test_small_sources(spark, tmp_path):
@@ -119,7 +120,7 @@ def test_streams(spark, tmp_path):
         os.utime(folder / f"{k}.jsonl", (1_700_000_000 + k, 1_700_000_000 + k))
     source = stream.read_stream(spark, str(folder), schema)
     stream.upsert(source, str(tmp_path / "state"), ["model", "question_id"], None, str(tmp_path / "cp1")).awaitTermination()
-    got = {r.question_id: r.status for r in spark.read.parquet(str(tmp_path / "state")).collect()}
+    got = {r.question_id: r.status for r in KeyedState(spark, str(tmp_path / "state"), ["model", "question_id"]).read().collect()}
     assert got == {"q1": "ok", "q2": "failed", "q3": "failed", "q4": "failed", "q5": "failed"}
     trips = stream.breaker(source.withColumn("bad", F.col("status") == "failed"), "model", "bad", 3)
     q = trips.writeStream.format("memory").queryName("trips").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
