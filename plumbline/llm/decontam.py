@@ -150,10 +150,14 @@ class Items:
             prints = np.stack([fingerprint(planes(h, self.weigh(h))[-1:])[0] for _, h in mine])
             # index[byte][value]: the items whose byte is within the allowed errors of the value
             index = _NEAR[prints.T].transpose(0, 2, 1) <= RADIUS // BYTES
-            owner = np.concatenate([np.full(len(h), k) for k, (_, h) in enumerate(mine)])
-            flat = np.concatenate([h for _, h in mine])
-            order = np.argsort(flat, kind="stable")
-            self.classes[words] = ([i for i, _ in mine], [h for _, h in mine], prints, index, flat[order], owner[order])
+            self.classes[words] = ([i for i, _ in mine], [h for _, h in mine], prints, index)
+        # postings: which lengths have an item with the shingle
+        self.lengths = list(self.classes)
+        held_by = [np.searchsorted(self.names, np.unique(np.concatenate(sets))) for _, sets, *_ in self.classes.values()]
+        name = np.concatenate([np.zeros(0, np.int64), *held_by])
+        length = np.repeat(np.arange(len(held_by)), [len(h) for h in held_by])
+        order = np.argsort(name, kind="stable")
+        self.posted, self.post = np.searchsorted(name[order], np.arange(len(self.names) + 1)), length[order]
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.names, shingles), max(len(self.names) - 1, 0))
@@ -167,21 +171,34 @@ class Items:
             out[may] = self.names[at] == shingles[may]
         return out
 
+    def met(self, shingled: dict[int, np.ndarray], hits: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+        """(number of words, places) of the items' lengths that share a shingle with the text, and where; by one look at
+        each known shingle's postings."""
+        found = []
+        for k, places in hits.items():
+            at = np.searchsorted(self.names, shingled[k][places])
+            each = self.posted[at + 1] - self.posted[at]
+            of = np.repeat(np.arange(len(places)), each)
+            length = self.post[np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + self.posted[at][of]]
+            order = np.argsort(length, kind="stable")
+            edges = np.flatnonzero(np.diff(length[order], prepend=-1))
+            for i, group in zip(length[order][edges], np.split(order, edges[1:]), strict=True) if len(of) else ():
+                if min(self.size, self.lengths[i]) == k:
+                    found.append((self.lengths[i], places[of[group]]))
+        return sorted(found, key=lambda x: x[0])
+
     def match(self, hashes: np.ndarray, shingled: dict[int, np.ndarray], hits: dict[int, np.ndarray], least: float, shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple]:
         """(item, similarity, first word, words, bits apart) of the best window for each item in a text.
 
         ``shared``: shingles of the text that several items of the benchmark hold, and how many do."""
         found = []
-        for words, (ids, sets, prints, index, flat, owner) in self.classes.items():
+        for words, mine in self.met(shingled, hits):
+            ids, sets, prints, index = self.classes[words]
             span = min(words, len(hashes))
             k = min(self.size, span)
-            if k != min(self.size, words) or k not in shingled:
+            if k != min(self.size, words):
                 continue
             shingles = shingled[k]
-            mine = hits[k]
-            mine = mine[np.isin(shingles[mine], flat)]
-            if not len(mine):
-                continue
             m, last = span - k + 1, len(hashes) - span
             starts = np.unique(np.clip(mine[:, None] - np.arange(m), 0, last))
             starts = starts[(mine[np.minimum(np.searchsorted(mine, starts), len(mine) - 1)] >= starts)]
