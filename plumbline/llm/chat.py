@@ -6,14 +6,17 @@ before, the new end is the turn's span, and where it does not, the template has
 rewritten history and the turn says so.  A probe character in place of the
 text finds the text inside its span, which gives the loss mask.
 
-A conversation streams through one task turn by turn (a digest over its whole
-text is sequential by nature); what is held at a time is ``context`` turns and a
-block, however long the conversation is.  With context=None every prefix is
-rendered from the first turn, for templates that are not known to be local.
+Every prefix is rendered from the first turn, unless the template declares (as its attribute ``context``)
+on how many turns before it a turn's rendering depends.  Of such a template the first ``WHOLE``
+prefixes of a conversation are rendered whole all the same, so that one which rewrites what it should not is
+found there; after that a prefix begins ``context`` to ``WHOLE`` turns back.  A conversation streams through one task
+turn by turn (a digest over its whole text is sequential by nature); with a declared context that
+task holds ``WHOLE`` turns and a block, however long the conversation is.
 
 Defined results: null roles and texts are empty; turns sort by turn, role and
-text, nulls first; repeated rows are turns of their own; rows with a null
-conversation form one conversation; an empty table renders nothing.
+text, nulls first, so ties of the turn have one order; repeated rows are turns of their own; rows with a null
+conversation form one conversation; an empty table renders nothing; a text of any length is rendered whole, within
+one block; columns are taken by position, so others may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ _ESCAPE = re.compile(rf"\\|{_CONTROL}")
 _UNESCAPE = re.compile(rf"\\(\\|{_CONTROL})")
 _TOKEN = re.compile(rf"\\(?:\\|{_CONTROL})|(?P<control>{_CONTROL})")
 PROBE = "\ue000"
+#: Prefixes that are rendered from the first turn whatever a template declares.
+WHOLE = 64
+_DECLARED = object()
 
 
 def escape(text: str) -> str:
@@ -64,6 +70,10 @@ def instruct(turns: list[Turn]) -> str:
     return "".join(out)
 
 
+#: Of the turns before, only whether there is one.
+instruct.context = 1
+
+
 def parse(formatted: str) -> list[Turn]:
     """The turns of (a run of whole turns of) what :func:`instruct` wrote."""
     turns, opened, begin, role = [], None, 0, ""
@@ -93,12 +103,13 @@ class Incremental:
     piece is what the turn adds to the output, start and end its text within the
     piece, rewritten how many characters of the output before it changed."""
 
-    def __init__(self, template: Template, context: int | None):
+    def __init__(self, template: Template, context: int | None, whole: int = WHOLE):
+        self.whole = whole
         self.template, self.context, self.turns = template, context, []
         self.before = template([])
 
     def add(self, role: str, text: str) -> tuple[str | None, int, int, int]:
-        if self.context is not None and len(self.turns) > self.context + 32:
+        if self.context is not None and len(self.turns) >= max(self.whole, self.context + 1):
             self.turns = self.turns[-self.context :] if self.context else []
             self.before = self.template(self.turns)
         after = self.template([*self.turns, (role, text)])
@@ -117,10 +128,14 @@ class Incremental:
 _TURNS = "conv_id long, pos long, role string, piece string, text_at long, text_to long, rewritten long, first boolean"
 
 
-def render_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = instruct, context: int | None = 1) -> DataFrame:
+def render_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = instruct, context: int | None | object = _DECLARED) -> DataFrame:
     """One row per turn, in order within its conversation: its piece of the formatted
     text and where in the piece its text lies.  The pieces of a conversation, end to
-    end, are its formatted text."""
+    end, are its formatted text.
+
+    context: what the template declares, if it does; None renders every prefix from the first turn."""
+    if context is _DECLARED:
+        context = getattr(template, "context", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, pos = object(), None, 0

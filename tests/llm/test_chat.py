@@ -14,9 +14,9 @@ SCHEMA = "conv_id long, turn long, role string, text string, piece string"
 @given(TURNS)
 def test_round_trip(turns):
     assert parse(instruct(turns)) == turns
-    whole, local = Incremental(instruct, None), Incremental(instruct, 1)
+    whole, local, short = Incremental(instruct, None), Incremental(instruct, 1), Incremental(instruct, 1, 2)
     pieces = [whole.add(*t) for t in turns]
-    assert pieces == [local.add(*t) for t in turns]
+    assert pieces == [local.add(*t) for t in turns] == [short.add(*t) for t in turns]
     assert "".join(p for p, *_ in pieces) == instruct(turns)
     assert [parse(p) for p, *_ in pieces] == [[t] for t in turns]
 
@@ -31,6 +31,26 @@ def test_rewriting_templates_are_found(spark):
     assert render_turns(rows).where("rewritten > 0").count() == 0
 
 
+def late(turns):
+    """Drops the first turn's text once there are 60."""
+    return "".join(f"{r}:{x if k or len(turns) < 60 else '-'};" for k, (r, x) in enumerate(turns))
+
+
+def local_late(turns):
+    return late(turns)
+
+
+local_late.context = 1  # which is not true
+
+
+def test_old_history_that_is_rewritten_late(spark):
+    rows = spark.createDataFrame([(1, k, "user", f"hello {k}", "") for k in range(150)], SCHEMA)
+    for template in (late, local_late):
+        got = [r.pos for r in render_turns(rows, template=template).where("rewritten > 0").collect()]
+        assert got == [59], template
+    assert instruct.context == 1
+
+
 def test_long_and_odd_conversations(spark):
     rows = [(5, k, "user" if k % 2 else "assistant", f"text {k} </s>", "p") for k in range(500)]
     rows += [(6, None, None, None, "p"), (6, 1, "assistant", None, "p"), (6, 1, "assistant", None, "p"), (None, 0, "tool", "x\\", "p")]
