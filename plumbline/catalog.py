@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import lifecycle, registry, relational, scalars, statistical  # noqa: F401
+from plumbline.plans import files, lifecycle, registry, relational, scalars, statistical  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

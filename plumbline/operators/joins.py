@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.store import written
+
 
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right"), how: str = "inner") -> DataFrame:
     """A join in which other columns of the same name get a suffix each."""
@@ -76,16 +78,23 @@ BLOCK = 1024
 
 
 def _pairs(df, keys, columns, more, rule, block: int | None = None) -> DataFrame:
-    """A key's rows are dealt into blocks by a hash of their values, and each pair of blocks is a join key of its own, so
-    that a crowded key is spread over tasks; keys of up to ``block`` rows are one block and are not copied."""
+    """Keys of up to ``block`` rows are joined as they lie.  The rows of a crowded key are dealt into blocks by a hash of their
+    values, and each pair of blocks is a join key of its own, so that its pairs are spread over tasks."""
     block = block or BLOCK
     names = list(dict.fromkeys([*columns, *more]))
-    crowded = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    rows = df.select(*keys, F.struct(*names).alias("_r")).join(crowded, list(keys), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    own, every = F.pmod(F.xxhash64("_r"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    a = rows.select(*keys, own.alias("_i"), every.alias("_j"), F.col("_r").alias("_a"))
-    b = rows.select(*keys, every.alias("_i"), own.alias("_j"), F.col("_r").alias("_b"))
-    both = a.join(b, [*keys, "_i", "_j"]).where(rule(F.col("_a"), F.col("_b")))
+    rows = df.select(*keys, F.struct(*names).alias("_r"))
+    side = lambda part, name, *cells: part.select(*keys, *cells, F.col("_r").alias(name))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    crowded = written(counts.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    if crowded.isEmpty():
+        both = side(rows, "_a").join(side(rows, "_b"), list(keys))
+    else:
+        quiet = rows.join(crowded, list(keys), "left_anti")
+        dealt = rows.join(crowded, list(keys))
+        own, every = F.pmod(F.xxhash64("_r"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        blocks = side(dealt, "_a", own.alias("_i"), every.alias("_j")).join(side(dealt, "_b", every.alias("_i"), own.alias("_j")), [*keys, "_i", "_j"]).drop("_i", "_j")
+        both = side(quiet, "_a").join(side(quiet, "_b"), list(keys)).unionByName(blocks)
+    both = both.where(rule(F.col("_a"), F.col("_b")))
     return both.select(*keys, *[F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in "ab" for c in columns])
 
 

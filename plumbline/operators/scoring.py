@@ -41,10 +41,10 @@ def localisation_scores(df: DataFrame, reply: str, description: str, truth: str,
         fmt = bx.infer_format(F.col(description))
     out = df.withColumn("_f", fmt).withColumn("_raw", bx.read_boxes(F.col(reply), F.col("_f.ord")))
     found = bx.to_pixels(F.col("_raw"), F.col("_f.scale"), F.col("_f.known"), F.col(width), F.col(height))
-    out = out.withColumns({"pred_boxes": found, "_t": geo.all_corners(F.col(truth))})
-    scores = geo.box_scores(F.col("_t"), F.col("pred_boxes"))
-    scores["localisation_score"] = F.when(F.col("pred_boxes").isNull(), F.lit(0.0)).otherwise(scores["localisation_score"])
-    return out.withColumns(scores).drop("_f", "_raw", "_t")
+    out = out.withColumn("pred_boxes", found)
+    out = out.withColumn("_s", geo.box_scores(geo.all_corners(F.col(truth)), F.col("pred_boxes"))).select("*", "_s.*")
+    out = out.withColumn("localisation_score", F.when(F.col("pred_boxes").isNull(), F.lit(0.0)).otherwise(F.col("localisation_score")))
+    return out.drop("_f", "_raw", "_s")
 
 
 def density_errors(df: DataFrame, count: str, true_count: str, coverage: str, true_coverage: str) -> DataFrame:

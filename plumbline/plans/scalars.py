@@ -392,7 +392,7 @@ def _(v):
     """Each image's boxes against the first of themselves moved by a few pixels."""
     moved = F.transform("boxes", lambda b, i: F.struct((b["x"] + i * 7 % 11).alias("x"), (b["y"] + 3).alias("y"), b["w"].alias("w"), b["h"].alias("h")))
     scores = geo.box_scores(geo.all_corners(F.col("boxes")), geo.all_corners(F.slice(moved, 1, 4)))
-    return v.boxes.select("image_id", *[c.alias(n) for n, c in scores.items()])
+    return v.boxes.select("image_id", scores.alias("s")).select("image_id", "s.*")
 
 
 @query("geo_11_box_formats", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'yxyx' WHEN 1 THEN 'xyxy' WHEN 2 THEN 'cxcywh' ELSE 'xywh' END AS ord, CASE event_id % 3 WHEN 0 THEN 1000.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS scale, true AS known FROM events")

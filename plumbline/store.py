@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 _fallback: list[str] = []
+_owned: set[str] = set()
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -25,22 +26,40 @@ def shared_folder(df: DataFrame) -> str:
     return f"file://{_fallback[0]}"
 
 
+def application_folder(df: DataFrame) -> str:
+    """Where this application's tables lie; the file system deletes it when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(df)}/plumbline/{spark.sparkContext.applicationId}"
+    if path not in _owned:
+        _owned.add(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
+
+
+def new_path(df: DataFrame) -> str:
+    """A path in :func:`application_folder` where nothing lies yet."""
+    return f"{application_folder(df)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table: evaluated once, however often it is read, and with its lineage cut."""
-    path = f"{shared_folder(df)}/plumbline/{uuid.uuid4().hex}"
+    path = new_path(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_logs(lines: DataFrame, by: str) -> str:
     """``lines`` (by, value) as text files in the order of their partitions, a folder per value of ``by``; where they are."""
-    path = f"{shared_folder(lines)}/plumbline/{uuid.uuid4().hex}"
+    path = new_path(lines)
     lines.write.partitionBy(by).text(path)
     return path
 
 
 def written_text(lines: DataFrame) -> DataFrame:
     """``lines`` (value) as text files, read back."""
-    path = f"{shared_folder(lines)}/plumbline/{uuid.uuid4().hex}"
+    path = new_path(lines)
     lines.write.text(path)
     return lines.sparkSession.read.text(path)
