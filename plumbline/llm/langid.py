@@ -29,6 +29,8 @@ from plumbline.llm._words import chunks
 BINS = 1 << 16
 SMOOTH = 0.5
 ROUNDS = 12
+#: Languages of a model.
+MOST = 1000
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 0x20
@@ -123,7 +125,10 @@ class Model:
 
 
 def train(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", penalty: float = 1.0) -> Model:
-    """Counts over all rows where ``training`` holds; they are languages x 65,536 numbers."""
+    """Counts over all rows where ``training`` holds; they are languages x 65,536 numbers, of ``MOST`` languages at most."""
+    known = docs.where(training & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string")).distinct()
+    if known.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"{lang_col} has more than {MOST} values; a model of so many languages does not fit the driver")
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     table = map_texts(rows, _count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     lang = table.column("lang").to_pylist()

@@ -10,7 +10,8 @@ the result is that of the library's priority queue.  What no piece covers
 counts its UTF-8 bytes (byte fallback).
 
 Defined results: null and empty texts have no tokens; any length of text is
-counted whole; ids and extra columns are carried or ignored as they are.
+counted whole; repeated rows and ties of id are counted row by row; an empty table gives an
+empty table; ids are carried as they are and extra columns ignored, whatever their names.
 """
 
 from __future__ import annotations
