@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm._store import keep, map_texts, maybe_broadcast
 from plumbline.llm._words import BYTES, FOLDED_CODE, SEPARATOR, chunks, mix, prefix_sums
 
 MAX_ROWS = 4000
+#: Bytes of text of that sample.
+MAX_BYTES = 256 << 20
 #: Bytes of the word beginnings that the lexicon may hold.
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEXICON = 4000
@@ -271,8 +273,9 @@ class Model:
         return np.clip(0.999 * np.interp(raw, *self.knots) + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the labelled rows for whose id ``training`` holds."""
+def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model of the labelled rows for whose id ``training`` holds: of at most ``max_rows`` distinct whole texts in a hashed
+    order, and of the first of these that have ``max_bytes`` together."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     y = keep(y, "labels")
     # a hash threshold bounds the sample; a little above, then cut exactly
@@ -280,7 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = MA
     some = y.where(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1_000_000)) < int(part * 1_000_000))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(maybe_broadcast(keep(some, "sample")), "_id")
     rows = rows.groupBy(F.xxhash64("_t").alias("_k")).agg(F.min_by("_t", "_id").alias("_t"), F.max("_y").alias("_y"), F.min("_id").alias("_id"))
-    got = rows.orderBy(F.xxhash64("_id", F.lit("order")), "_id").limit(max_rows).select("_t", "_y").toArrow()
+    rows = keep(rows.withColumns({"_o": F.xxhash64("_id", F.lit("order")), "_n": F.octet_length("_t").cast("long")}), "texts")
+    # at most max_rows rows of a few numbers
+    first = rows.select("_k", "_o", "_id", "_n").orderBy("_o", "_id").limit(max_rows)
+    first = first.withColumn("_sum", F.sum("_n").over(Window.orderBy("_o", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= max_bytes)
+    got = rows.join(F.broadcast(first.select("_k")), "_k").orderBy("_o", "_id").select("_t", "_y").toArrow()
     texts = got.column("_t").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
     return Model(texts, got.column("_y").to_numpy() > 0)
