@@ -32,10 +32,11 @@ def clustered(rng, n, dim=16):
     return (centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, dim)) * rng.choice([0.02, 0.15, 0.4], (n, 1))).astype(np.float32)
 
 
-@pytest.mark.parametrize("shard", [8192, 150])
-def test_against_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "of"), [(8192, 5), (150, 5), (90, 2)])
+def test_against_brute_force(spark, shard, of):
+    """of 2: two labels with several shards each."""
     rng = np.random.default_rng(5)
-    rows = [(1000 - i, v.tolist(), int(i % 5 == 0)) for i, v in enumerate(clustered(rng, 700))]
+    rows = [(1000 - i, v.tolist(), int(i % of == 0)) for i, v in enumerate(clustered(rng, 700))]
     rows += [(5000 + i, rows[i % 3][1], rows[i % 3][2]) for i in range(9)]
     assert run(spark, rows, shard=shard) == want(rows)
 

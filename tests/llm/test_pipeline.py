@@ -39,6 +39,9 @@ def test_odd_documents(spark):
         assert stage(spark, spark.createDataFrame([], schema), "/root/testdata/sf0.001").count() == 0
         kept = [tuple(r) for r in out.collect()]
         assert (None, "the words", "en", None, 9) in kept
+    last = pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, schema), "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in last) == [(False, 1, 0), (False, 2, 0), (False, 4, 2), (False, 4, 2), (False, 5, 1), (True, 0, 2)]
+    assert pipeline.STAGES[-1][1](spark, spark.createDataFrame([], schema), "/root/testdata/sf0.001").count() == 0
 
 
 def test_repeated_rows_and_null_ids(spark):
