@@ -82,5 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
         "op9_mix_sources": mixing.ORACLE_SQL,
         "op11_quality_rules": quality.ORACLE_SQL,
+        "op12_resample": resampling.ORACLE_SQL,
         "op13_merkle_manifest": manifest.ORACLE_SQL,
     }

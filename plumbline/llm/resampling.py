@@ -206,3 +206,38 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     out = ranked(scored(raw, gains, seed), least_words, percent)
     discard(raw, wanted)
     return out.select(F.col("id").alias(id_col), "n_features", "weight", "score", "rank")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS k, i::BIGINT AS c, 0 AS b FROM range(256) r(i)
+  UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b + 1 FROM bits WHERE b < 8
+), crc AS (
+  SELECT list(c ORDER BY k) AS tab FROM bits WHERE b = 8
+), texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, true AS own, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), false, NULL, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT r, own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), feats AS MATERIALIZED (
+  SELECT r, f, count(*) AS n FROM (SELECT r, unnest([w[i], CASE WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] END, CASE WHEN i + 1 < len(w) THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END]) AS f FROM runs)
+  WHERE f IS NOT NULL GROUP BY r, f
+), named AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+         lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM feats), crc
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (r < 0), 0)::DOUBLE AS t FROM feats JOIN named USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((sum(s) OVER ()) + 10000)) / ((s + 1) * ((sum(t) OVER ()) + 10000))))::BIGINT AS gain FROM counts
+), weights AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM feats JOIN named USING (f) JOIN gains USING (bucket) WHERE r > 0 GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS long, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE own
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY long DESC, score DESC, doc_id NULLS LAST, n_features) AS place, 5 * (count(*) FILTER (long) OVER ()) // 100 AS most FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM placed
+"""
