@@ -227,12 +227,24 @@ def _(v):
     return v.boxes.select("image_id", F.size(got).alias("n"), F.aggregate(got, F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
-@query("geo_10_configured_format", "SELECT image_id, ord::BIGINT AS ord, least(y, 600.0) AS x1 FROM annotations WHERE width * height > 0")
+@query("geo_10_configured_format", f"SELECT image_id, ord::BIGINT AS ord, {r('least(x, width)', 'x1')}, {r('least(y, height)', 'y1')}, {r('least(x + w, width)', 'x2')}, {r('least(y + h, height)', 'y2')} FROM annotations WHERE width * height > 0")
 def _(v):
-    order, scale = bx.parse_format("yxyx_pixel")
-    raw = F.array(F.struct(F.lit(order).alias("ord"), F.col("x").alias("a"), F.col("y").alias("b"), (F.col("x") + F.col("w")).alias("c"), (F.col("y") + F.col("h")).alias("d")))
-    px = bx.to_pixels(raw, F.lit(scale).cast("double"), F.lit(True), F.lit(600), F.lit(10**6))
-    return v.annotations.where("width * height > 0").select("image_id", "ord", px[0]["x1"].alias("x1"))
+    """Every box written in one of the sixteen formats, by its place in the image, and read back."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    written = {"xyxy": (x, y, x + w, y + h), "yxyx": (y, x, y + h, x + w), "xywh": (x, y, w, h), "cxcywh": (x + w / 2, y + h / 2, w, h)}
+    formats = [bx.parse_format(f"{order}_{scale}") for order in bx.ORDERS for scale in bx.SCALES]
+    table = F.array(*[F.struct(F.lit(order).alias("order"), F.lit(full).cast("double").alias("full")) for order, full in formats])
+    rows = v.annotations.where("width * height > 0").withColumn("f", F.get(table, ((F.col("image_id") + F.col("ord")) % len(formats)).cast("int")))
+
+    def number(i: int):
+        """The i-th number of a box, in its format's order and scale."""
+        at = F.coalesce(*[F.when(F.col("f.order") == order, numbers[i]) for order, numbers in written.items()])
+        return at * F.coalesce(F.col("f.full") / F.when((F.col("f.order") == "yxyx") == (i % 2 == 0), F.col("height")).otherwise(F.col("width")), F.lit(1.0))
+
+    raw = F.struct(F.col("f.order").alias("ord"), *[number(i).alias(n) for i, n in enumerate("abcd")])
+    rows = rows.withColumn("raw", F.array(raw))
+    read = bx.to_pixels(F.col("raw"), F.col("f.full"), F.lit(True), F.col("width"), F.col("height"))
+    return rows.select("image_id", "ord", read[0].alias("box")).select("image_id", "ord", "box.*")
 
 
 @query("geo_12_box_replies", "SELECT image_id, ord::BIGINT AS ord, x AS a, y AS b FROM annotations")
@@ -389,9 +401,9 @@ def _(v):
 
 @query("udf_01_row_function", "SELECT id, model || ':' || question_id AS label FROM responses")
 def _(v):
-    from plumbline.functions.text import question_id
-
-    return v.responses.select("id", question_id(F.col("model"), F.col("question_id")).alias("label"))
+    """A Python function of a row's values, in Arrow batches."""
+    label = F.udf(lambda model, question: f"{model}:{question}", "string", useArrow=True)
+    return v.responses.select("id", label("model", "question_id").alias("label"))
 
 
 @query("udf_03_custom_aggregate", f"SELECT model, {r('max(latency) - min(latency)', 'span')} FROM responses GROUP BY model")
