@@ -191,3 +191,13 @@ def test_reload_on_change(spark, tmp_path):
     assert sorted((os.path.basename(r.path), r.change) for r in changes.collect()) == [("a.json", "removed"), ("b.json", "added")]
     plan = stream.signatures(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
+
+
+def test_a_title_keeps_what_is_no_complete_reference():
+    from plumbline.sources.pages import metadata
+
+    title = lambda t: metadata(f"<html>\n<p>&amp;\n <title>{t}</title><h1>x</h1>")["title"]
+    assert title(" a &amp;&amp;&amp") == "a &&&amp"
+    assert title("&quot;b&quot &#65;&#66 &ampc; &copy") == '"b&quot A&#66 &ampc; &copy'
+    assert title("c & d &amp;quot;") == "c & d &quot;"
+    assert title("") == "" and metadata("<p>&amp")["title"] == "" and metadata("a\n\n<title>e &amp")["title"] == "e &amp"
