@@ -179,3 +179,23 @@ def test_checks(spark):
         checks.same_settings({"seed": 1}, {"seed": 2})
     with pytest.raises(ValueError):
         checks.same_counts(good, good.limit(1), "rows")
+
+
+def test_annotations_with_tables_too_large_to_broadcast(spark, monkeypatch):
+    from plumbline.operators import joins
+    from plumbline.plans import views
+
+    folder = "/root/testdata/sf0.001"
+    plain = views.Views(spark, folder)
+    want = spark.sql(views.VIEWS["annotations"], lineitem=plain.lineitem, images=plain.images, part=plain.part)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(views, "ANNOTATIONS_A_TASK", 500)
+    got = views.Views(spark, folder).annotations
+    assert got.dtypes == want.dtypes
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("Exchange") == 4
+    rows = plain.lineitem.count()
+    assert got.rdd.getNumPartitions() == -(-rows // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # what groups by image finds the rows as they lie
+    assert got.groupBy("dataset", "image_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 4
