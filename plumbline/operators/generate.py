@@ -5,6 +5,8 @@ role, x, y, w, h and ord.  Every generator is one plan; nothing is collected."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,14 +140,30 @@ def render_plan(questions: DataFrame, boxes: str, folder: str, slug: str) -> Dat
     return questions.select(F.concat_ws("/", "dataset", "image_id").alias("source"), out.alias("out_path"), labelled.alias("labelled_boxes")).dropDuplicates(["out_path"])
 
 
+def _overlay_sizes(rows: DataFrame) -> DataFrame:
+    font = F.greatest(F.lit(14), F.bround(F.col("height") / 40).cast("int"))
+    return rows.withColumns({"line": geo.overlay_line(F.col("width"), F.col("height")), "font": font, "strip": font * 2})
+
+
+def _below_strip(b: Column) -> Column:
+    return F.struct(b["x1"].alias("x1"), (b["y1"] + F.col("strip")).alias("y1"), b["x2"].alias("x2"), (b["y2"] + F.col("strip")).alias("y2"))
+
+
+def overlay_dashes(rows: DataFrame, box: str, keys: Sequence[str]) -> DataFrame:
+    """The ``dashes`` of :func:`overlay_plan` as rows (keys, x1, y1, x2, y2), for rows that hold one replied box of corners each."""
+    side, line = F.col("_side"), F.col("line")
+    sides = _overlay_sizes(rows).select(*keys, "line", F.explode(geo.box_sides(_below_strip(F.col(box)))).alias("_side")).where(side["size"] > 0)
+    each = sides.select(*keys, "line", "_side", F.explode(geo.dash_numbers(side, line)).alias("_k"))
+    return each.select(*keys, geo.dash(side, F.col("_k"), line).alias("_d")).select(*keys, "_d.*")
+
+
 def overlay_plan(rows: DataFrame, truth: str, replied: str) -> DataFrame:
     """What would be drawn to judge a localisation reply: true boxes in ``solid`` lines, replied ones as ``dashes``.
 
     Boxes are arrays of corners.  ``strip`` pixels for a legend stand above the image, in
     letters of ``font`` pixels; all places are those of the finished picture."""
-    font = F.greatest(F.lit(14), F.bround(F.col("height") / 40).cast("int"))
-    out = rows.withColumns({"line": geo.overlay_line(F.col("width"), F.col("height")), "font": font, "strip": font * 2})
-    lower = lambda c: F.transform(c, lambda b: F.struct(b["x1"].alias("x1"), (b["y1"] + F.col("strip")).alias("y1"), b["x2"].alias("x2"), (b["y2"] + F.col("strip")).alias("y2")))
+    out = _overlay_sizes(rows)
+    lower = lambda c: F.transform(c, _below_strip)
     drawn = F.flatten(F.transform(lower(F.col(replied)), lambda b: geo.dashes(b, F.col("line"))))
     return out.withColumns({"solid": lower(F.col(truth)), "dashes": drawn})
 

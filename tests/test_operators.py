@@ -199,3 +199,15 @@ def test_annotations_with_tables_too_large_to_broadcast(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == -(-rows // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     # what groups by image finds the rows as they lie
     assert got.groupBy("dataset", "image_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 4
+
+
+def test_dashes_as_rows(spark):
+    from plumbline.functions import geometry as geo
+    from plumbline.operators import generate
+
+    boxes = spark.createDataFrame([(i, 800, 600, 10.0 * i, 5.0, 7.0 * i, 61.5) for i in range(5)], "image_id int, width int, height int, x double, y double, w double, h double")
+    one = boxes.withColumn("c", geo.corners(F.struct("x", "y", "w", "h")))
+    drawn = generate.overlay_dashes(one, "c", ["image_id"])
+    whole = generate.overlay_plan(one.withColumn("c", F.array("c")), "c", "c").select("image_id", F.explode("dashes").alias("d")).select("image_id", "d.*")
+    assert sorted(drawn.collect()) == sorted(whole.collect()) and drawn.where("image_id = 0").count() > 0
+    assert "lambdafunction" not in drawn._jdf.queryExecution().optimizedPlan().toString()
