@@ -330,3 +330,19 @@ def test_dashes_around_a_box(spark):
     got = [tuple(d) for d in box.select(geo.dashes(F.col("c"), F.lit(2)).alias("d")).first().d]
     # the upper side from the left, the lower one from the right; sides without length have none
     assert got == [(0, 0, 10, 0), (16, 0, 20, 0), (20, 0, 10, 0), (4, 0, 0, 0)]
+
+
+def test_candidates_are_scored_once_for_rows_that_are_alike(spark, monkeypatch):
+    from plumbline.functions.density import ScoreRule
+    from plumbline.operators import fitting
+
+    each = [(i % 7, (i % 5) / 50, 0.0, None if i % 3 else 0.5, 3 if i % 7 >= 6 else 2 if i % 7 >= 3 else 1, i % 2) for i in range(210)]
+    kind = "count long, coverage double, typical_size double, spread double, label int, fold int"
+    df = spark.createDataFrame(each, kind)
+    seen, scored = [], fitting._losses
+    monkeypatch.setattr(fitting, "_losses", lambda rows, label, tries: seen.append(rows.count()) or scored(rows, label, tries))
+    rules, trees = fitting.fit_rules(df, "label", ScoreRule(), 2, steps=4, rounds=1), fitting.fit_trees(df, "label", 2, depth=2)
+    assert set(seen) == {70}
+    monkeypatch.setattr(fitting, "_alike", lambda rows: rows.withColumn("_n", F.lit(1)))
+    assert rules == fitting.fit_rules(df, "label", ScoreRule(), 2, steps=4, rounds=1) and trees == fitting.fit_trees(df, "label", 2, depth=2)
+    assert set(seen) == {70, 210}
