@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as geo
 from plumbline.functions.density import ScoreRule, density_level, level_name
 from plumbline.functions.hashing import draw_key
-from plumbline.operators.joins import pairs_across, pairs_within
+from plumbline.operators.joins import pairs_ranked
 from plumbline.operators.reshape import duplicate_variants
 from plumbline.operators.selection import distractors, fraction
 from plumbline.operators.windows import first_per, number_groups
+from plumbline.store import written
 
 KEY = ["dataset", "image_id"]
 BOX = ["x", "y", "w", "h"]
@@ -35,7 +36,8 @@ def large_enough(annotations: DataFrame, share: float, largest: float) -> DataFr
 
 
 def _pool(annotations: DataFrame) -> DataFrame:
-    return annotations.groupBy("dataset").agg(F.array_sort(F.collect_set("species")).alias("_pool"))
+    """A row per dataset, written so that its size is known before a join deals candidates by the few datasets."""
+    return written(annotations.groupBy("dataset").agg(F.array_sort(F.collect_set("species")).alias("_pool")))
 
 
 def species_questions(annotations: DataFrame, role: str = "weed", choices: int = 4, share: float = 0.01, largest: float = 0.0, seed: int = 0) -> DataFrame:
@@ -64,9 +66,7 @@ def pair_candidates(annotations: DataFrame, role: str = "weed", total: float = 0
     """Pairs of boxes of an image that are large, central and look alike: of one species, or of two."""
     rows = usable(annotations.where(F.col("role") == role))
     columns = ["species", "ord", *BOX, "width", "height"]
-    same = pairs_within(rows, [*KEY, "species"], "ord", ["ord", *BOX, "width", "height"]).withColumns({"species_a": F.col("species"), "species_b": F.col("species"), "same": F.lit(True)}).drop("species")
-    across = pairs_across(rows, KEY, "species", columns).withColumn("same", F.lit(False))
-    both = same.unionByName(across)
+    both = pairs_ranked(rows, KEY, ["species", "ord"], columns).withColumn("same", F.col("species_a") == F.col("species_b"))
     box = lambda s: F.struct(*[F.col(f"{c}_{s}").alias(c) for c in BOX])
     whole = F.col("width_a") * F.col("height_a")
     a, b = geo.area(box("a")), geo.area(box("b"))

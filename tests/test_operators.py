@@ -211,3 +211,48 @@ def test_dashes_as_rows(spark):
     whole = generate.overlay_plan(one.withColumn("c", F.array("c")), "c", "c").select("image_id", F.explode("dashes").alias("d")).select("image_id", "d.*")
     assert sorted(drawn.collect()) == sorted(whole.collect()) and drawn.where("image_id = 0").count() > 0
     assert "lambdafunction" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_benchmark_works_its_annotations_out_once(spark):
+    from plumbline.operators import build
+
+    images = spark.createDataFrame([(d, k, 100, 100, "a") for d in "de" for k in range(6)], IMAGES)
+    plants = [("p", "weed", 30.0), ("p", "weed", 40.0), ("q", "weed", 50.0), ("r", "crop", 0.0)]
+    rows = spark.createDataFrame([(d, k, 100, 100, "a", s, r, o, x, 40.0, 20.0, 20.0) for d in "de" for k in range(6) for o, (s, r, x) in enumerate(plants)], BOXES)
+    seen = spark.sparkContext.accumulator(0)
+
+    def marked(ord: int) -> int:
+        seen.add(1)
+        return ord
+
+    counted = rows.withColumn("ord", F.udf(marked, "int")("ord"))
+    settings = {"species": {"per_class": 2}, "open_ended": {"share": 0.5}, "fine_grained": {"per_class": 2}, "density": {}, "grounded": {"coverage": 0.01}, "localisation": {"per_class": 3}}
+    got = build.build(images, counted, settings).collect()
+    assert seen.value == len(plants) * 12
+    assert {t: sum(r.task == t for r in got) for t in settings} == {"species": 4, "open_ended": 2, "fine_grained": 4, "density": 24, "grounded": 24, "localisation": 9}
+
+
+def test_generators_shuffle_nothing_of_a_table_by_image(spark):
+    from plumbline.store import written_by
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("d", k, 100, 100, "a", s, "weed", o, 10.0 * o, 40.0, 20.0, 20.0) for k in range(5) for o, s in enumerate("ppq")], BOXES)
+        table = written_by(rows, generate.KEY, 3)
+        assert sorted(table.collect()) == sorted(rows.collect())
+        for made in (generate.fine_grained_questions, generate.grounded_questions, generate.localisation_questions):
+            assert "Exchange" not in made(table)._jdf.queryExecution().executedPlan().toString(), made
+            assert sorted(r.id for r in made(table).collect()) == sorted(r.id for r in made(rows).collect())
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("plumbline_")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_ranked(spark, monkeypatch):
+    rows = [(1, "p", 0), (1, "p", 1), (1, "q", 0), (1, None, 2), (1, "q", None), (2, "p", 0), (None, "p", 0), (None, "q", 1)]
+    df = spark.createDataFrame(rows, "k int, s string, o int")
+    want = [("p", 0, "p", 1), ("p", 0, "q", 0), ("p", 0, "q", None), ("p", 1, "q", 0), ("p", 1, "q", None)]
+    for block in (1024, 2):
+        monkeypatch.setattr(joins, "BLOCK", block)
+        got = joins.pairs_ranked(df, ["k"], ["s", "o"], ["s", "o"]).select("s_a", "o_a", "s_b", "o_b").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
