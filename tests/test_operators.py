@@ -256,3 +256,12 @@ def test_pairs_ranked(spark, monkeypatch):
         monkeypatch.setattr(joins, "BLOCK", block)
         got = joins.pairs_ranked(df, ["k"], ["s", "o"], ["s", "o"]).select("s_a", "o_a", "s_b", "o_b").collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_tasks_of_a_growing_join_are_not_put_together(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    left, right = spark.range(1000).withColumnRenamed("id", "k"), spark.range(500).withColumnRenamed("id", "k")
+    several = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for tasks in (1, several + 3):
+        got = joins.growing(left, right, "k", tasks)
+        assert got.rdd.getNumPartitions() == max(tasks, several) and got.count() == 500
