@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from plumbline.operators import checks
 from plumbline.plans.registry import query
 from plumbline.sources import annotations, sinks, tables, versions
-from plumbline.store import new_path, written_logs, written_text
+from plumbline.store import new_path, written_text
 from plumbline.streaming.log import breaker, read_stream
 from plumbline.streaming.state import KeyedState
 
 
 @query("src_08_file_digests", "SELECT page_id, sha256(html || chr(10)) AS sha256, 'image/png' AS media_type FROM pages")
 def _(v):
-    """Every page as a file of its own, and the digests of the files' bytes."""
-    folder = written_logs(v.pages.select("page_id", F.col("html").alias("value")), "page_id")
-    found = annotations.image_digests(v.spark, f"{folder}/*/*")
-    page = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long")
-    return found.select(page.alias("page_id"), F.col("image_sha256").alias("sha256"), annotations.media_type(F.concat(page, F.lit(".PNG"))).alias("media_type"))
+    """Every page as a file of its own, and the digests of the files' bytes.  A page without text has no file and no digest."""
+    name = F.concat(F.monotonically_increasing_id(), F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(".PNG"))
+    found = annotations.digests_of_texts(v.pages.where("html is not null").select(name.alias("name"), F.col("html").alias("value")))
+    page = lambda k: F.regexp_extract("path", r"/(?:name=)?([0-9]+-(-?[0-9]*)\.PNG)(?:/[^/]+)?$", k)
+    none = v.pages.where("html is null").select("page_id", F.lit(None).cast("string").alias("sha256"), annotations.media_type(F.lit("none.PNG")).alias("media_type"))
+    return found.select(F.nullif(page(2), F.lit("")).cast("long").alias("page_id"), F.col("image_sha256").alias("sha256"), annotations.media_type(page(1)).alias("media_type")).unionAll(none)
 
 
 @query("snk_01_question_table", "SELECT question_id::VARCHAR AS id, task, row_number() OVER (PARTITION BY task ORDER BY question_id) - 1 AS position, sha256(image_path) AS image_sha256 FROM questions")

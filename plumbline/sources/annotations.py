@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import required_species
 from plumbline.operators.checks import require_none
 from plumbline.schemas import ANNOTATION_DOCUMENT
-from plumbline.store import written
+from plumbline.store import new_path, removed, written, written_files, written_groups
+
+#: Files that a task makes or reads, and tasks (or twice the cores, if these are more) whose files exist at a time.
+FILES_A_TASK, TASKS_AT_ONCE = 1_000, 24
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -58,9 +62,25 @@ def filter_categories(document: dict, names: Sequence[str]) -> tuple[dict, int]:
     return out, sum(i["id"] not in held for i in document["images"])
 
 
-def image_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """path and sha256 of every image file."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("image_sha256"))
+def image_digests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path and sha256 of every image file there, in folders of folders too."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return found.select("path", F.sha2("content", 256).alias("image_sha256"))
+
+
+def digests_of_texts(files: DataFrame) -> DataFrame:
+    """:func:`image_digests` of ``files`` (name, value), each of which becomes a file of its own, as a table.
+
+    Some thousands are made, read and deleted at a time, since the driver holds the names of all files that one read opens."""
+    spark, path, schema = files.sparkSession, new_path(files), "path string, image_sha256 string"
+    tasks = max(TASKS_AT_ONCE, 2 * spark.sparkContext.defaultParallelism)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for group in written_groups(files, FILES_A_TASK, tasks):
+        folders = written_files(group, new_path(group))
+        image_digests(spark, folders).coalesce(tasks).write.mode("append").parquet(path)
+        removed(spark, folders)
+        gc.collect()  # references between Python and the JVM run in circles, which nothing else ends in time
+    return spark.read.schema(schema).parquet(path)
 
 
 def media_type(path):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import sqlite3
@@ -201,3 +202,57 @@ def test_a_title_keeps_what_is_no_complete_reference():
     assert title("&quot;b&quot &#65;&#66 &ampc; &copy") == '"b&quot A&#66 &ampc; &copy'
     assert title("c & d &amp;quot;") == "c & d &quot;"
     assert title("") == "" and metadata("<p>&amp")["title"] == "" and metadata("a\n\n<title>e &amp")["title"] == "e &amp"
+
+
+ODD_PAGES = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (-3, "d"), (4, None), (None, None), (5, ""), (6, "é\r\n\n"), (2**62, "x" * 100_000)]
+
+
+def test_file_digests_of_odd_pages(spark, tmp_path):
+    """Ids that repeat, are negative or missing, pages without text, and more pages than one task writes or one read lists."""
+    import duckdb
+
+    from plumbline import catalog
+
+    rows = ODD_PAGES + [(k, f"page {k}") for k in range(100, 130)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute("SELECT page_id, sha256(html || chr(10)) AS sha256, 'image/png' AS media_type FROM pages").fetchall()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(annotations, "FILES_A_TASK", 2)
+        m.setattr(annotations, "TASKS_AT_ONCE", 1)
+        got = catalog.queries()["src_08_file_digests"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("store", ["file", "viewfs"])
+def test_a_file_for_each_row_in_few_folders(spark, tmp_path, store):
+    """Tasks write next to each other, not in a folder for each row; other stores are written by Spark."""
+    from plumbline.store import removed, written_files
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./w", f"file://{tmp_path}")
+    at = f"file://{tmp_path}/files" if store == "file" else "viewfs://t/w/files"
+    rows = [(f"{k}.PNG", f"text {k}") for k in range(40)]
+    folders = written_files(spark.createDataFrame(rows, "name string, value string").repartition(4), at)
+    assert len(folders) == 4
+    if store == "file":
+        assert sorted(f.name for f in tmp_path.glob("files/*/*")) == sorted(n for n, _ in rows)
+    got = annotations.image_digests(spark, folders).select(F.regexp_extract("path", r"([0-9]+\.PNG)", 1), "image_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted((n, hashlib.sha256(f"{v}\n".encode()).hexdigest()) for n, v in rows)
+    removed(spark, folders)
+    assert not [f for f in tmp_path.rglob("*") if "PNG" in f.name]
+
+
+def test_few_files_exist_at_a_time(spark, monkeypatch):
+    """A single input partition is dealt to several tasks, and what is listed at a time does not grow with the rows."""
+    seen = []
+    read = annotations.image_digests
+    monkeypatch.setattr(annotations, "FILES_A_TASK", 5)
+    monkeypatch.setattr(annotations, "TASKS_AT_ONCE", 1)
+    monkeypatch.setattr(annotations, "image_digests", lambda s, folders: seen.append(sum(len(os.listdir(f.removeprefix("file://"))) for f in folders)) or read(s, folders))
+    for n in (0, 3, 200):
+        seen.clear()
+        rows = [(f"{k}.PNG", f"text {k}") for k in range(n)]
+        got = annotations.digests_of_texts(spark.createDataFrame(rows, "name string, value string").coalesce(1)).collect()
+        assert sorted(r.image_sha256 for r in got) == sorted(hashlib.sha256(f"{v}\n".encode()).hexdigest() for _, v in rows)
+        assert sum(seen) == n and max(seen, default=0) <= 5 * 8 + 8
